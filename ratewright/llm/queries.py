@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.common import read
-from ratewright.llm import groups, overlap, quotas, splits
+from ratewright.llm import consensus, groups, neighbours, overlap, quotas, splits
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(read(spark, d, "human_label")).select("image_id", "axis", "score")
+
+
+def p1_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(read(spark, d, "human_label"))
+
+
+def p1_raters(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.rater_reliability(read(spark, d, "human_label"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +31,11 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.all_groups(read(spark, d, "dataset_image"), read(spark, d, "match_pairs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read(spark, d, "feature_cache").where(F.trim("extractor_version") == "v8")
+    return neighbours.similar_pairs(vectors).select(F.col("a").alias("sha256_a"), F.col("b").alias("sha256_b"))
+
+
 def _quota(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return read(spark, d, "manifest"), read(spark, d, "dataset_image"), read(spark, d, "quota_target")
 
@@ -57,7 +74,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_report, p5_sample, p6_found, p6_split, p6_report, p7_found, p7_report)
+    f.__name__: f for f in (p1_found, p1_agreement, p1_raters, p3_found, p3_groups, p4_found, p5_found, p5_report, p5_sample, p6_found, p6_split, p6_report, p7_found, p7_report)
 }
 
 KEY = "nullif(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '')"
@@ -99,7 +116,14 @@ img as (select distinct {KEY.format('image_id')} as i, {KEY.format('dataset_role
 pairs as (select distinct t.i as t, e.i as e from img t join img e on t.r = 'development' and e.r in ('validation', 'final_test') and t.i <> e.i
   and (t.s = e.s or bit_count(xor(t.h, e.h)) <= 6))"""
 
+_P4 = f"""
+v as (select distinct {KEY.format('sha256')} as s, clip_embedding::float[512] as e from feature_cache where trim(extractor_version) = 'v8' and len(clip_embedding) = 512
+      and list_bool_and([isfinite(x) for x in clip_embedding]) and list_bool_or([x <> 0 for x in clip_embedding])),
+sim as (select a.s as a, b.s as b, array_cosine_similarity(a.e::double[512], b.e::double[512]) as c from v a join v b on a.s <> b.s),
+top as (select * from sim qualify row_number() over (partition by a order by c desc, b) <= 5)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"with {_P4} select distinct least(a, b) as sha256_a, greatest(a, b) as sha256_b from top where c >= 0.8",
     "p3_found": f"with recursive {_P3_LINKS} select image_id, group_id from grp",
     "p3_groups": f"with recursive {_P3_LINKS} select i as image_id, coalesce(group_id, i) as group_id from ids left join grp on i = image_id where i is not null",
     "p5_found": f"with {_P5} select target_id from fits, size where fits.n < greatest(share * sample_rate * size.n, min_rows)",
