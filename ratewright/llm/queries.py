@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.common import read
-from ratewright.llm import consensus, groups, neighbours, overlap, quotas, splits
+from ratewright.llm import consensus, groups, neighbours, overlap, packing, quotas, splits, stuffing, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,29 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(read(spark, d, "dataset_image"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(read(spark, d, "documents"))
+
+
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "container_spec"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    specs = read(spark, d, "container_spec")
+    return packing.packing_report(packing.pack_documents(read(spark, d, "documents"), specs), specs)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.score_texts(read(spark, d, "documents")).where("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.score_texts(read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_agreement, p1_raters, p3_found, p3_groups, p4_found, p5_found, p5_report, p5_sample, p6_found, p6_split, p6_report, p7_found, p7_report)
+    f.__name__: f for f in (p1_found, p1_agreement, p1_raters, p3_found, p3_groups, p4_found, p5_found, p5_report, p5_sample, p6_found, p6_split, p6_report, p7_found, p7_report, p8_ids, p9_pack, p9_report, p10_found, p10_scores)
 }
 
 KEY = "nullif(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '')"
