@@ -111,8 +111,10 @@ def _describe(text: str | None) -> tuple[list[float], float, str]:
     lang_hits: Counter[str] = Counter()
     seen: dict[str, list[tuple[int, int]]] = {}
     block: list[tuple[int, int, list[str]]] = []
-    doubled: list[tuple[int, int, tuple[str, str], int]] = []
-    phrases: Counter[tuple[str, str]] = Counter()
+    undecided: list[tuple[int, int, list[str]]] = []
+    said: set[str] = set()
+    sentences: list[tuple[int, int, Counter, int]] = []
+    phrases: Counter = Counter()
 
     def close() -> None:
         """A run of pieces that are no sentences: spam if it says the same words again and again or is tied to links and tags."""
@@ -132,6 +134,9 @@ def _describe(text: str | None) -> tuple[list[float], float, str]:
         if again >= 0.3 or most >= 4 and most >= 0.25 * len(flat) or share >= 0.3 or LABEL.search(t, lo, hi) or len(flat) >= 40 and loose >= 0.6 and len(flat) / len(c) >= 1.8:
             spam[lo:hi] |= solid_here & (own != 3)
             repeated[lo:hi] = again >= 0.3 or most >= 4 and most >= 0.25 * len(flat)
+            said.update(flat)
+        elif flat:
+            undecided.append((lo, hi, flat))
         block.clear()
 
     for m in SENTENCE.finditer(t):
@@ -165,19 +170,28 @@ def _describe(text: str | None) -> tuple[list[float], float, str]:
             block.append((a, b, ws))
             continue
         pairs = Counter(x for x in zip(ws, ws[1:]) if x[0] not in ANY and x[1] not in ANY)
+        pairs.update(w for w in content if len(w) >= 6)
         phrases.update(pairs)
-        if pairs:
-            phrase, most = pairs.most_common(1)[0]
-            if most >= 2 and 2 * most >= 0.15 * len(ws):
-                doubled.append((a, b, phrase, most))
+        sentences.append((a, b, pairs, len(ws)))
         close()
         seen.setdefault(" ".join(ws), []).append((a, b))
     close()
-    # A phrase said twice in a sentence is chance, unless the text keeps saying it.
-    for a, b, phrase, most in doubled:
-        if most >= 3 or phrases[phrase] >= 4:
-            stuffed[a:b] = True
-            spam[a:b] |= solid[a:b]
+    # A phrase said twice in a sentence is chance, unless the text keeps saying it; one that is an eighth of all that the
+    # text says is its keyword.
+    for a, b, pairs, n in sentences:
+        for phrase, times in pairs.items():
+            size = 2 if isinstance(phrase, tuple) else 1
+            heavy = phrases[phrase] >= 4 and size * phrases[phrase] >= 0.12 * n_words
+            twice = times >= 2 and size * times >= 0.15 * n and (phrases[phrase] >= 4 if size == 2 else phrases[phrase] >= 0.04 * n_words and phrases[phrase] >= 4)
+            if twice or times >= 3 and size == 2 or heavy and size * times >= 0.25 * n:
+                stuffed[a:b] = True
+                spam[a:b] |= solid[a:b]
+                break
+    # Lists cut in two by something else go with the part that is known to be spam.
+    for lo, hi, flat in undecided:
+        if len(flat) >= 4 and sum(w in said for w in flat) >= 0.4 * len(flat):
+            listed[lo:hi] = True
+            spam[lo:hi] |= solid[lo:hi] & (kind[lo:hi] != 3)
     for places in seen.values():
         if len(places) >= 4:
             for a, b in places:
