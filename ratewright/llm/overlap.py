@@ -14,8 +14,8 @@ RADIUS = 6
 
 def block_plan(radius: int, blocks: int) -> tuple[list[tuple[int, int]], int]:
     """Cuts 64 bits into ``blocks`` pieces ``(shift, width)``; some piece then differs in at most ``radius // blocks`` bits."""
-    if not 1 <= blocks <= 64 or radius < 0:
-        raise ValueError("blocks must be from 1 to 64 and radius not negative")
+    if not 2 <= blocks <= 64 or radius < 0:
+        raise ValueError("blocks must be from 2 to 64 and radius not negative")
     edges = [64 * i // blocks for i in range(blocks + 1)]
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])], radius // blocks
 
@@ -31,12 +31,17 @@ def _masks(width: int, flips: int) -> list[int]:
 def _keys(code: Column, radius: int, blocks: int, probe: bool) -> Column:
     """Keys of a code: one for each block, or with all bit flips a block may have if ``probe``."""
     pieces, flips = block_plan(radius, blocks)
+    base = F.lit(blocks).cast("bigint")
     out = []
     for n, (shift, width) in enumerate(pieces):
-        piece = F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) if width < 64 else code
-        masks = _masks(width, flips if probe else 0)
-        out += [(piece.bitwiseXOR(F.lit(m).cast("bigint"))) * F.lit(blocks).cast("bigint") + F.lit(n) if m else piece * F.lit(blocks).cast("bigint") + F.lit(n) for m in masks]
-    return F.array(*out)
+        piece = F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+        masks = F.lit(_masks(width, flips if probe else 0)).cast("array<bigint>")
+        out.append(_flipped(masks, piece, base, n))
+    return F.flatten(F.array(*out))
+
+
+def _flipped(masks: Column, piece: Column, base: Column, n: int) -> Column:
+    return F.transform(masks, lambda m: piece.bitwiseXOR(m) * base + F.lit(n))
 
 
 def code_pairs(train: DataFrame, evaluation: DataFrame, radius: int = RADIUS, blocks: int = 4) -> DataFrame:

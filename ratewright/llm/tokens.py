@@ -230,7 +230,8 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
     out = rows.where(~is_long).mapInArrow(short, f"key {kind}, {result}")
     if not whole:
         n = F.explode(F.sequence(F.lit(0), F.floor((size - 1) / spread).cast("int"))).alias("n")
-        cut = rows.where(is_long).select(F.monotonically_increasing_id().alias("u"), "__key", "__text", n)
+        # Numbered before the pieces are made: in one select each piece would get a number of its own.
+        cut = rows.where(is_long).withColumn("u", F.monotonically_increasing_id()).select("u", "__key", "__text", n)
         cut = cut.select("u", "__key", "n", F.substr("__text", F.col("n") * spread + 1, F.lit(spread)).alias("piece")).repartition("u", "n")
         encoded = cut.mapInArrow(pieces, f"u long, __key {kind}, n int, piece string, ids array<int>")
         out = out.unionByName(encoded.groupBy("u").applyInArrow(together, f"key {kind}, {result}"))
