@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratewright.plans import manifest
+from ratewright.plans import agreement, datasets, manifest, measures
 
-MODULES = [manifest]
+MODULES = [measures, agreement, datasets, manifest]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -12,4 +12,4 @@ for _m in MODULES:
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
 
-FLAGSHIP = QUERIES["p2_found"]
+FLAGSHIP = QUERIES["flagship"]
