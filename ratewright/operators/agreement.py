@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratewright.common import materialize
+
 LEVELS = [1, 2, 3, 4, 5]
 
 
@@ -68,6 +70,7 @@ def _mid_ranks(c: DataFrame, by: list[str]) -> DataFrame:
 
 def spearman(c: DataFrame, by: list[str]) -> DataFrame:
     """Rank correlation with average ranks, per ``by``; a constant series has a reason instead of a value."""
+    c = materialize(c, "cells")  # read three times
     r = _mid_ranks(c, by)
     n, sx, sy = F.sum("n"), F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
     sxx, syy, sxy = (F.sum(F.col("n") * F.col(a) * F.col(b)) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry")))
@@ -78,6 +81,7 @@ def spearman(c: DataFrame, by: list[str]) -> DataFrame:
 
 def concordance(c: DataFrame, by: list[str]) -> DataFrame:
     """Concordant, discordant and tied pair counts of items per ``by``, from at most 625 pairs of cells each."""
+    c = materialize(c, "cells")  # read twice
     a, b = c.select(*by, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("n").alias("n1")), c.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
     both = a.join(b, by)
     s = F.signum((F.col("x1") - F.col("x2")).cast("double")) * F.signum((F.col("y1") - F.col("y2")).cast("double"))

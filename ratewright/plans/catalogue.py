@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratewright.plans import agreement, datasets, manifest, measures
+from ratewright.plans import agreement, datasets, fits, manifest, measures, states, texts
 
-MODULES = [measures, agreement, datasets, manifest]
+MODULES = [measures, agreement, datasets, fits, texts, states, manifest]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
