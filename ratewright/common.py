@@ -98,3 +98,31 @@ def attach(rows: DataFrame, stats: DataFrame, key: str | list[str], count: str,
     hot = rows.join(heavy if only is None else heavy.where(only), keys)
     cold = rows.join(heavy.select(*keys), keys, "left_anti").join(light if only is None else light.where(only), keys)
     return hot.select(*columns).unionByName(cold.select(*columns))
+
+
+def sorted_positions(rows: DataFrame, column: str) -> DataFrame:
+    """``(column, position)`` of distinct non-null values in sorted order, from 0.
+
+    Values are range partitioned and numbered within their partition; the partitions' counts, one row each, give the
+    offsets. No task sorts or counts more than its range.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    kind = rows.schema[column].dataType.simpleString()
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def number(batches):
+        at, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], names=["v", "part", "own"])
+            at += b.num_rows
+
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
+    held = materialize(values.repartitionByRange(parts, "v").sortWithinPartitions("v").mapInArrow(number, f"v {kind}, part int, own long"), "positions")
+    starts, total = [], 0
+    for r in held.groupBy("part").count().orderBy("part").collect():
+        starts.append((r[0], total))
+        total += r[1]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))  # as many rows as partitions
+    return held.join(offsets, "part").select(F.col("v").alias(column), (F.col("start") + F.col("own")).alias("position"))

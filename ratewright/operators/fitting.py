@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ratewright.common import sorted_positions
+
 
 def pool_adjacent(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
     """Isotonic blocks ``(x, mean, weight)`` of points ``(x, mean y, count)`` with distinct, ascending x.
@@ -85,13 +87,8 @@ def fitted_knots(rows: DataFrame, by: list[str], x: str, y: str, levels: list[in
 
 
 def folds_by_rank(clusters: DataFrame, cluster: str, folds: int = 5) -> DataFrame:
-    """Fold of each cluster: its position in sorted order, modulo ``folds``. Positions are counted over hash-free prefix
-    buckets (the first two characters), so no task ranks all clusters."""
-    c = clusters.select(cluster).distinct().withColumn("bucket", F.substring(cluster, 1, 24))
-    per = c.groupBy("bucket").agg(F.count("*").alias("n"))
-    start = per.withColumn("start", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("n")).drop("n")
-    r = F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy(cluster)) - 1
-    return c.join(start, "bucket").select(cluster, (r % folds).cast("int").alias("fold"))
+    """Fold of each cluster: its position in sorted order, modulo ``folds``."""
+    return sorted_positions(clusters, cluster).select(cluster, (F.col("position") % folds).cast("int").alias("fold"))
 
 
 def greedy_bins(sizes: list[tuple[int, str]], bins: int) -> dict[str, int]:

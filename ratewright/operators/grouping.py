@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ratewright.common import materialize, release
+from ratewright.functions.bits import block_keys
 from ratewright.functions.numeric import hamming64
 
 #: Credits that name nobody (fixed values); the strict form needs a word boundary after the phrase.
@@ -19,13 +19,11 @@ def hash_code(hex16: Column) -> Column:
     return F.when(h.rlike(r"^[0-9a-f]{16}\z"), F.conv(h, 16, -10).cast("bigint"))
 
 
-def near_pairs(codes: DataFrame, radius: int = 6) -> DataFrame:
-    """Pairs ``(code_a, code_b)`` of distinct codes within ``radius`` bits: banded, of ``radius + 1`` disjoint bands one is equal."""
-    bands, edges = radius + 1, [64 * i // (radius + 1) for i in range(radius + 2)]
-    base = F.lit(bands).cast("bigint")
-    keys = F.array(*[F.shiftrightunsigned("code", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")) * base + F.lit(n) for n, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    rows = codes.where("code is not null").select("code").distinct().select("code", F.explode(keys).alias("k"))
-    a, b = rows.withColumnRenamed("code", "code_a"), rows.withColumnRenamed("code", "code_b")
+def near_pairs(codes: DataFrame, radius: int = 6, blocks: int = 4) -> DataFrame:
+    """Pairs ``(code_a, code_b)``, the smaller first, of distinct codes within ``radius`` bits, by ``block_keys``."""
+    one = codes.where("code is not null").select("code").distinct()
+    a = one.select(F.col("code").alias("code_a"), F.explode(block_keys(F.col("code"), radius, blocks, False)).alias("k"))
+    b = one.select(F.col("code").alias("code_b"), F.explode(block_keys(F.col("code"), radius, blocks, True)).alias("k"))
     return a.join(b, "k").where((F.col("code_a") < F.col("code_b")) & (hamming64(F.col("code_a"), F.col("code_b")) <= radius)).select("code_a", "code_b").distinct()
 
 
@@ -51,8 +49,9 @@ def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def duplicate_of(rows: DataFrame, key: str, content: str) -> DataFrame:
     """Adds ``duplicate_of``: the least key with the same content, null for that one itself and for null content."""
-    first = F.min(key).over(Window.partitionBy(content))
-    return rows.withColumn("duplicate_of", F.when(F.col(content).isNotNull() & (first != F.col(key)), first))
+    first = rows.where(F.col(content).isNotNull()).groupBy(content).agg(F.min(key).alias("__first"), F.count("*").alias("__n"))
+    repeated = first.where("__n > 1").drop("__n")
+    return rows.join(repeated, content, "left").select(*rows.columns, F.when(F.col("__first") != F.col(key), F.col("__first")).alias("duplicate_of"))
 
 
 def creator_group(credit: Column) -> Column:

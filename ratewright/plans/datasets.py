@@ -28,9 +28,8 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def first_of_content(spark: SparkSession, d: str) -> DataFrame:
     """First image of each content in source and id order."""
-    w = Window.partitionBy("sha256").orderBy("source", "image_id")
-    rows = images(spark, d).where("sha256 is not null").select("sha256", "source", "image_id").distinct()
-    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    rows = images(spark, d).where("sha256 is not null")
+    return rows.groupBy("sha256").agg(F.min(F.struct("source", "image_id")).alias("f")).select("sha256", "f.*")
 
 
 def corpus_collisions(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +64,8 @@ def creator_groups(spark: SparkSession, d: str) -> DataFrame:
 def clusters_from_creators(spark: SparkSession, d: str) -> DataFrame:
     """Cluster of each image: its creator where that has several images, else the image itself."""
     rows = read(spark, d, "dataset_image").select(norm_key("image_id").alias("image_id"), G.creator_group(F.col("creator")).alias("g")).distinct()
-    n = F.count("*").over(Window.partitionBy("g"))
-    return rows.select("image_id", F.when(F.col("g").isNotNull() & (n > 1), F.col("g")).otherwise(F.concat(F.lit("image:"), "image_id")).alias("cluster"))
+    several = rows.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(several, "g", "left").select("image_id", F.when(F.col("n") > 1, F.col("g")).otherwise(F.concat(F.lit("image:"), "image_id")).alias("cluster"))
 
 
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
