@@ -6,44 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.common import norm_key
+from ratewright.functions.bits import block_keys
 
 TRAIN = ["development"]
 EVAL = ["validation", "final_test"]
 RADIUS = 6
 
 
-def block_plan(radius: int, blocks: int) -> tuple[list[tuple[int, int]], int]:
-    """Cuts 64 bits into ``blocks`` pieces ``(shift, width)``; some piece then differs in at most ``radius // blocks`` bits."""
-    if not 2 <= blocks <= 64 or radius < 0:
-        raise ValueError("blocks must be from 2 to 64 and radius not negative")
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])], radius // blocks
-
-
-def _masks(width: int, flips: int) -> list[int]:
-    out, ring = [0], [0]
-    for _ in range(flips):
-        ring = sorted({m | 1 << i for m in ring for i in range(width) if not m >> i & 1})
-        out += ring
-    return out
-
-
-def _keys(code: Column, radius: int, blocks: int, probe: bool) -> Column:
-    """Keys of a code: one for each block, or with all bit flips a block may have if ``probe``."""
-    pieces, flips = block_plan(radius, blocks)
-    base = F.lit(blocks).cast("bigint")
-    out = []
-    for n, (shift, width) in enumerate(pieces):
-        piece = F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        masks = F.lit(_masks(width, flips if probe else 0)).cast("array<bigint>")
-        out.append(_flipped(masks, piece, base, n))
-    return F.flatten(F.array(*out))
-
-
-def _flipped(masks: Column, piece: Column, base: Column, n: int) -> Column:
-    return F.transform(masks, lambda m: piece.bitwiseXOR(m) * base + F.lit(n))
-
-
 def code_pairs(train: DataFrame, evaluation: DataFrame, radius: int = RADIUS, blocks: int = 4) -> DataFrame:
     """Pairs ``(code_t, code_e)`` of distinct 64-bit codes (column ``code``) within Hamming ``radius``.
 
@@ -51,8 +20,8 @@ def code_pairs(train: DataFrame, evaluation: DataFrame, radius: int = RADIUS, bl
     keyed by its 4 blocks and the smaller evaluation side by each block and its 16 single flips. That is exact, and
     leaves a 960th of all pairs to verify. More blocks need fewer keys, fewer blocks leave fewer candidates.
     """
-    t = train.select("code").distinct().select("code", F.explode(_keys(F.col("code"), radius, blocks, False)).alias("k"))
-    e = evaluation.select("code").distinct().select("code", F.explode(_keys(F.col("code"), radius, blocks, True)).alias("k"))
+    t = train.select("code").distinct().select("code", F.explode(block_keys(F.col("code"), radius, blocks, False)).alias("k"))
+    e = evaluation.select("code").distinct().select("code", F.explode(block_keys(F.col("code"), radius, blocks, True)).alias("k"))
     near = t.withColumnRenamed("code", "code_t").join(e.withColumnRenamed("code", "code_e"), "k").where(F.bit_count(F.col("code_t").bitwiseXOR(F.col("code_e"))) <= radius)
     return near.select("code_t", "code_e").distinct()
 

@@ -51,8 +51,10 @@ def _hits(pool: DataFrame, targets: list[dict]) -> DataFrame:
 
 def supply(pool: DataFrame, targets: list[dict]) -> tuple[int, dict[int, int]]:
     """Size of the pool, and of each target the number of photos that fit it."""
-    counted = _hits(pool, targets).groupBy("target_id").count() if targets else None
-    return pool.count(), dict(map(tuple, counted.collect())) if targets else {}
+    # An open target counts the pool itself, in the same pass.
+    every = {"target_id": -1, "target_set": None} | dict.fromkeys(FIELDS)
+    counted = dict(map(tuple, _hits(pool, [*targets, every]).groupBy("target_id").count().collect()))
+    return counted.pop(-1, 0), counted
 
 
 def allocate(targets: list[dict], size: int, stock: dict[int, int]) -> dict[int, tuple[int, int]]:
