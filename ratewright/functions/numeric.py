@@ -42,9 +42,9 @@ def piecewise_sql(x: str, knots: list[tuple[float, float]]) -> str:
 
 def apply_knots(c: Column, knots: Column) -> Column:
     """As ``piecewise``, for knots held in a column of ``array<struct<x,y>>``; no knots give 0, equal x the later y."""
-    first, last = F.element_at(knots, 1), F.element_at(knots, -1)
-    upper = F.element_at(F.filter(knots, lambda k: k["x"] >= c), 1)
-    lower = F.element_at(F.filter(knots, lambda k: k["x"] < c), -1)
+    first, last = F.try_element_at(knots, F.lit(1)), F.try_element_at(knots, F.lit(-1))
+    upper = F.try_element_at(F.filter(knots, lambda k: k["x"] >= c), F.lit(1))
+    lower = F.try_element_at(F.filter(knots, lambda k: k["x"] < c), F.lit(-1))
     inside = F.when(upper["x"] == lower["x"], upper["y"]).otherwise(lower["y"] + (c - lower["x"]) / (upper["x"] - lower["x"]) * (upper["y"] - lower["y"]))
     return F.when(F.size(knots) == 0, 0.0).when(c <= first["x"], first["y"]).when(c >= last["x"], last["y"]).otherwise(inside)
 

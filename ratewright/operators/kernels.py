@@ -59,7 +59,7 @@ def neighbour_hash(plane: Column, bits: int = 64) -> Column:
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(bits)),
         F.lit(0).cast("bigint"),
-        lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.element_at(plane, i) > F.element_at(plane, i % bits + 1), 1).otherwise(0).cast("bigint")),
+        lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.try_element_at(plane, i) > F.try_element_at(plane, i % bits + 1), 1).otherwise(0).cast("bigint")),
     )
 
 

@@ -108,30 +108,36 @@ def sharpness_basis() -> Column:
     return F.when(F.col("eyeRegionMeasured") & F.col("sharpnessEyeRegion").isNotNull(), "eyeRegion").otherwise("frame")
 
 
-def computed_scores() -> dict[str, Column]:
-    """The four measured axes, unrounded."""
+def with_scalars(vectors: DataFrame) -> DataFrame:
+    """Adds each measured axis's driving scalar as ``__<axis>``.
+
+    Steps that a later one reads more than once are columns of their own: written inline, the expressions would multiply
+    and outgrow code generation. The optimizer keeps such projections apart.
+    """
     basis = F.when(sharpness_basis() == "eyeRegion", F.col("sharpnessEyeRegion")).otherwise(F.col("sharpnessLaplacian"))
-    sharp = piecewise(basis, KNOTS["sharpness"]) - F.when(F.col("jpegQualityEstimate") < JPEG_FLOOR, 1.0).otherwise(0.0)
-    return {
-        "sharpness": clamp(sharp, 1.0, 5.0),
-        "lighting": clamp(piecewise(lighting_raw(), KNOTS["lighting"]), 1.0, 5.0),
-        "resolution": piecewise(shorter_edge(), KNOTS["resolution"]),
-        "framing": piecewise(framing_raw(), KNOTS["framing"]),
-    }
+    return vectors.withColumns({"__sharpness": basis, "__lighting": lighting_raw(), "__resolution": shorter_edge(), "__framing": framing_raw()})
+
+
+def with_raw_axes(vectors: DataFrame) -> DataFrame:
+    """Adds the four measured axes, unrounded, under their names."""
+    v = with_scalars(vectors).withColumns({f"__m_{a}": piecewise(F.col(f"__{a}"), KNOTS[a]) for a in COMPUTED})
+    sharp = F.col("__m_sharpness") - F.when(F.col("jpegQualityEstimate") < JPEG_FLOOR, 1.0).otherwise(0.0)
+    out = v.withColumns({"__m_sharpness": sharp}).withColumns({a: clamp(F.col(f"__m_{a}"), 1.0, 5.0) for a in COMPUTED})
+    return out.drop(*[f"__{a}" for a in COMPUTED], *[f"__m_{a}" for a in COMPUTED])
 
 
 def axis_levels(vectors: DataFrame) -> DataFrame:
     """Adds the eight axes as whole levels from 1 to 5, null where absent. Judged axes missing from the input are null."""
-    own = computed_scores()
     judged = {a: F.col(a).cast("double") if a in vectors.columns else F.lit(None).cast("double") for a in JUDGED}
-    return vectors.withColumns({a: clamp(round_half_up(c), 1.0, 5.0) for a, c in (own | judged).items()})
+    v = with_raw_axes(vectors).withColumns(judged)
+    return v.withColumns({a: round_half_up(F.col(a)) for a in AXES}).withColumns({a: clamp(F.col(a), 1.0, 5.0) for a in AXES})
 
 
 def composite(context: str) -> Column:
     """Weighted mean of the axes that exist, on 1 to 10 with one decimal; sums run in axis order. Null without any axis."""
     top = bottom = F.lit(0.0)
     for a, w in zip(AXES, WEIGHTS[context]):
-        top = top + F.when(F.col(a).isNotNull(), F.col(a) * w).otherwise(0.0)
+        top = top + F.coalesce(F.col(a) * w, F.lit(0.0))
         bottom = bottom + F.when(F.col(a).isNotNull(), F.lit(w)).otherwise(0.0)
     return round_half_up(F.lit(1.0) + (F.try_divide(top, bottom) - 1.0) * 2.25, 1)
 

@@ -78,7 +78,12 @@ def axis_distribution(spark: SparkSession, d: str) -> DataFrame:
 def composite_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Photos per rounded composite (zero-filled), with the mean and spread over all."""
     s = M.scored(spark, d).select(S.composite(S.DEFAULT_CONTEXT).alias("score")).where("score is not null")
-    whole = s.agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), F.count("*").alias("total"), *[F.count_if(round_half_up(F.col("score")) == b).alias(f"b{b}") for b in range(1, 11)])
+    bins = s.groupBy("score").agg(F.count("*").alias("n")).withColumn("bin", round_half_up(F.col("score")))
+    total = F.sum("n")
+    mean = F.sum(F.col("score") * F.col("n")) / total
+    square = F.sum(F.col("score") * F.col("score") * F.col("n"))
+    sd = F.sqrt((square - mean * mean * total) / F.greatest(total - 1, F.lit(1)))
+    whole = bins.agg(mean.alias("mean"), sd.alias("sd"), total.alias("total"), *[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)).alias(f"b{b}") for b in range(1, 11)])
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"b{b}").alias("n")) for b in range(1, 11)])).alias("x")
     rows = whole.select("mean", "sd", "total", each).select("mean", "sd", "total", "x.*")
     return rows.select("bin", "n", F.round(F.try_divide(F.col("n").cast("double"), F.col("total")), 6).alias("share"), _R("mean", "mean"), _R("sd", "sd"))

@@ -34,7 +34,7 @@ def isotonic_fitted(spark: SparkSession, d: str) -> DataFrame:
     """The fit at each distinct x of the resolution axis, as the block that holds it says."""
     o = observations(spark, d).where("axis = 'resolution'")
     b = I.isotonic(o, ["axis"], "x", "level").groupBy("axis").agg(F.array_sort(F.collect_list(F.struct("x", "fitted"))).alias("b"))
-    at = F.element_at(F.filter("b", lambda k: k["x"] >= F.col("x")), 1)["fitted"]
+    at = F.try_element_at(F.filter("b", lambda k: k["x"] >= F.col("x")), F.lit(1))["fitted"]
     return o.select("axis", "x").distinct().join(F.broadcast(b), "axis").select("x", F.round(at, 6).alias("fitted"))
 
 

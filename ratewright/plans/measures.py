@@ -19,7 +19,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     """
     cached = read(spark, d, "feature_cache").groupBy("sha256", "extractor_version")
     raw = cached.agg(F.min(F.struct("extracted_at", "computed")).alias("first")).select("sha256", "extractor_version", "first.computed")
-    v = raw.select("sha256", F.col("extractor_version").alias("extractorVersion"), F.from_json("computed", MEASURED).alias("c")).select("sha256", "extractorVersion", "c.*")
+    # inline, not a plain projection: filters on single fields would be pushed below that, each parsing the text again.
+    v = raw.select("sha256", F.col("extractor_version").alias("extractorVersion"), F.inline(F.array(F.from_json("computed", MEASURED))))
     edge, other = F.least("width", "height"), F.greatest("width", "height")
     return v.withColumns(
         {
@@ -83,7 +84,7 @@ def dimension_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def computed_axes(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).select("sha256", F.col("extractorVersion").alias("version"), *[F.round(c, 6).alias(a) for a, c in S.computed_scores().items()])
+    return S.with_raw_axes(vectors(spark, d)).select("sha256", F.col("extractorVersion").alias("version"), *[F.round(a, 6).alias(a) for a in S.COMPUTED])
 
 
 def scalars(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +162,7 @@ def weakest_axes(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Scored vectors with composite, confidence and the first piece of advice, best first."""
     rows = scored(spark, d)
-    return rows.select("sha256", S.composite(S.DEFAULT_CONTEXT).alias("score"), S.confidence().alias("confidence"), F.element_at(S.top_fixes(most=1), 1)["message"].alias("advice")).orderBy(F.desc("score"), "sha256")
+    return rows.select("sha256", S.composite(S.DEFAULT_CONTEXT).alias("score"), S.confidence().alias("confidence"), F.try_element_at(S.top_fixes(most=1), F.lit(1))["message"].alias("advice")).orderBy(F.desc("score"), "sha256")
 
 
 def clip_summary(spark: SparkSession, d: str) -> DataFrame:
