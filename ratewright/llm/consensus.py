@@ -17,7 +17,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,20 +82,49 @@ def rater_parameters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         share = n / n.sum(1, keepdims=True).clip(1e-9)
         spread = np.maximum((share * mu**2).sum(1) - (share * mu).sum(1) ** 2, 0)
         yield pd.DataFrame({
-            "rater": b["rater"], "axis": b["axis"], "n": b["n"], "response": list(response.reshape(-1, LEVELS * LEVELS)),
+            "rk": b["rk"], "n": b["n"], "response": list(response.reshape(-1, LEVELS * LEVELS)),
             "weight": weight, "error_variance": 1 / weight, "shift": (share * (mu - lv)).sum(1), "slope": slope, "reliability": spread / (spread + 1 / weight),
         })
 
 
-PARAMETERS = "rater string, axis string, n long, response array<double>, weight double, error_variance double, shift double, slope double, reliability double"
+PARAMETERS = "rk long, n long, response array<double>, weight double, error_variance double, shift double, slope double, reliability double"
 
 
-def _posterior(scored: DataFrame, prior: list[float]) -> DataFrame:
-    """Level probabilities of each item from its log-likelihood columns ``l0 .. l4``."""
-    like = F.array(*[F.sum(f"l{k}") + F.lit(float(np.log(max(prior[k], 1e-9)))) for k in range(LEVELS)])
-    agg = scored.groupBy("image_id", "axis").agg(F.count("*").alias("items_n"), like.alias("l"))
-    e = F.transform("l", lambda x: F.exp(x - F.array_max("l")))
-    return agg.withColumn("l", e).select("image_id", "axis", "items_n", F.transform("l", lambda x: x / F.aggregate("l", F.lit(0.0), lambda s, y: s + y)).alias("p"))
+def _normal(values: str) -> Column:
+    """Log-likelihoods as probabilities."""
+    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def _keyed(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels by long keys ``(ik, rk, rh, score)``, and the names behind item and rater keys.
+
+    Keys are hashes; that no two names share one is checked, and another seed taken if they do.
+    """
+    clean = clean_labels(labels)
+    for seed in range(20):
+        s = F.lit(seed)
+        keys = [F.xxhash64(s, "image_id", "axis").alias("ik"), F.xxhash64(s, "rater", "axis").alias("rk"), F.xxhash64(s, "rater").alias("rh")]
+        full = materialize(clean.select("*", *keys), "labels")
+        items = materialize(full.select("ik", "image_id", "axis").distinct(), "item-names")
+        raters = materialize(full.select("rk", "rh", "rater", "axis").distinct(), "rater-names")
+        if items.count() == items.select("ik").distinct().count() and raters.count() == raters.select("rk").distinct().count() and raters.select("rater").distinct().count() == raters.select("rh").distinct().count():
+            return full, items, raters
+    raise RuntimeError("no seed keeps all keys apart")
+
+
+def _start(rows: DataFrame, total: int) -> DataFrame:
+    """First level probabilities: each item's mean score after taking off every rater's own mean on the axis."""
+    middle = (LEVELS - 1) / 2
+    means = materialize(rows.groupBy("rk").agg(F.count("*").alias("n"), ((F.sum(F.col("score") - 1) + 3 * middle) / (F.count("*") + 3)).alias("own")), "means")
+    off = attach(rows, means, "rk", "n", total).select("ik", (F.col("score") - 1 - F.col("own")).alias("d"))
+    centred = materialize(off.groupBy("ik").agg(F.count("*").alias("items_n"), F.avg("d").alias("d")), "centred")
+    spread = centred.agg(F.stddev_pop("d"), F.sum(F.col("d") * F.col("items_n"))).first()
+    mean = rows.agg(F.avg(F.col("score") - 1)).first()[0]
+    scale = 1.1 / max(spread[0] or 0.0, 1e-3)
+    z = F.col("d") * scale + F.lit(float(middle if mean is None else mean))
+    like = F.array(*[-((z - k) * (z - k)) for k in range(LEVELS)])
+    return materialize(centred.withColumn("l", like).select("ik", "items_n", _normal("l").alias("p")), "items")
 
 
 def discover(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -105,34 +134,32 @@ def discover(labels: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     5000, see ``attach``), and both sums are pre-aggregated, so a rater or item with a third of all labels is no hot task.
     Ends after ``rounds``, or when the levels' total shares move by less than 1e-5.
     """
-    clean = materialize(clean_labels(labels), "labels")
-    total = clean.count()
-    vote = [F.when(F.col("score") == k + 1, F.lit(1.0)).otherwise(0.0).alias(f"v{k}") for k in range(LEVELS)]
-    first = clean.select("image_id", "axis", *vote).groupBy("image_id", "axis").agg(F.count("*").alias("items_n"), F.array(*[F.sum(f"v{k}") + 0.1 for k in range(LEVELS)]).alias("p"))
-    items = materialize(first.withColumn("p", F.transform("p", lambda x: x / (F.col("items_n") + 0.1 * LEVELS))), "items")
+    clean, item_names, rater_names = _keyed(labels)
+    rows = clean.select("ik", "rk", "rh", "score")
+    total = rows.count()
+    items = _start(rows, total)
     raters, before = None, [0.0] * LEVELS
     for _ in range(rounds):
-        soft = attach(clean, items, ["image_id", "axis"], "items_n", total)
-        by_score = soft.groupBy("rater", "axis", "score").agg(F.count("*").alias("n"), *[F.sum(F.element_at("p", k + 1)).alias(f"p{k}") for k in range(LEVELS)])
+        soft = attach(rows, items, "ik", "items_n", total)
+        by_score = soft.groupBy("rk", "rh", "score").agg(F.count("*").alias("n"), *[F.sum(F.element_at("p", k + 1)).alias(f"p{k}") for k in range(LEVELS)])
         cells = [F.coalesce(F.sum(F.when(F.col("score") == s + 1, F.col(f"p{k}"))), F.lit(0.0)).alias(f"c{k}{s}") for k in range(LEVELS) for s in range(LEVELS)]
-        wide = by_score.groupBy("rater", "axis").agg(F.sum("n").alias("n"), *cells)
-        over = Window.partitionBy("rater")  # as many rows as there are axes
+        wide = by_score.groupBy("rk", "rh").agg(F.sum("n").alias("n"), *cells)
+        over = Window.partitionBy("rh")  # as many rows as there are axes
         sums = [F.sum(sum(F.col(f"c{k}{s}") for s in range(LEVELS))).over(over).alias(f"n{k}") for k in range(LEVELS)]
         sums += [F.sum(sum(F.col(f"c{k}{s}") * s for s in range(LEVELS))).over(over).alias(f"s{k}") for k in range(LEVELS)]
-        wide = wide.select("*", *sums)
         release(raters)
-        raters = materialize(wide.mapInPandas(rater_parameters, PARAMETERS), "raters")
-        share = items.select(*[F.avg(F.element_at("p", k + 1)) for k in range(LEVELS)]).first()
-        prior = [x or 1 / LEVELS for x in share]
-        rated = attach(clean, raters.select("rater", "axis", "n", "response"), ["rater", "axis"], "n", total)
-        scored = rated.select("image_id", "axis", *[F.element_at("response", F.col("score") + k * LEVELS).alias(f"l{k}") for k in range(LEVELS)])
-        after = materialize(_posterior(scored, prior), "items")
+        raters = materialize(wide.select("*", *sums).mapInPandas(rater_parameters, PARAMETERS), "raters")
+        prior = [x or 1 / LEVELS for x in items.select(*[F.avg(F.element_at("p", k + 1)) for k in range(LEVELS)]).first()]
+        rated = attach(rows.select("ik", "rk", "score"), raters.select("rk", "n", "response"), "rk", "n", total)
+        scored = rated.select("ik", *[F.element_at("response", F.col("score") + k * LEVELS).alias(f"l{k}") for k in range(LEVELS)])
+        like = F.array(*[F.sum(f"l{k}") + F.lit(float(np.log(max(prior[k], 1e-9)))) for k in range(LEVELS)])
+        after = materialize(scored.groupBy("ik").agg(F.count("*").alias("items_n"), like.alias("l")).select("ik", "items_n", _normal("l").alias("p")), "items")
         release(items)
         items = after
         if max(abs(a - b) for a, b in zip(prior, before)) < 1e-5:
             break
         before = prior
-    return items, raters, clean
+    return items.join(item_names, "ik").drop("ik"), raters.join(rater_names, "rk").drop("rk", "rh"), clean
 
 
 def consensus(labels: DataFrame, rounds: int = ROUNDS, least_raters: int = 3) -> DataFrame:
@@ -164,4 +191,4 @@ def rater_reliability(labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the consensus, ``error_variance`` its inverse (the upper bound), ``shift`` and ``slope`` how it scores against the
     consensus, ``reliability`` from 0 to 1 the share of its variance that the items' levels explain.
     """
-    return discover(labels, rounds)[1].drop("response")
+    return discover(labels, rounds)[1].select("rater", "axis", "n", "weight", "error_variance", "shift", "slope", "reliability")
