@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.common import attach, materialize, release
+from ratewright.common import attach, materialize, release, sorted_positions
 
 MAX_ROUNDS = 60
 
@@ -27,7 +27,12 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     in no real edge isn't in the result. Strings compare byte by byte. No edges give no rows. Other columns are ignored.
     """
     low, high = F.least(F.col(a), F.col(b)).alias("low"), F.greatest(F.col(a), F.col(b)).alias("high")
-    state = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(low, high).distinct(), "h2m")
+    named = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(low, high).distinct(), "links")
+    ends = named.select(F.explode(F.array("low", "high")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    # Vertices go by their position in sorted order: the least position is the least vertex, and longs aggregate by hash.
+    names = materialize(sorted_positions(ends, "v").join(ends, "v"), "names")
+    state = _positions(named, names)
+    release(named)
     for _ in range(MAX_ROUNDS):
         total = 2 * state.count()
         if not total:
@@ -48,4 +53,17 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     else:
         raise RuntimeError(f"components not stable after {MAX_ROUNDS} rounds")
-    return state.select(F.col("high").alias("vertex"), F.col("low").alias("root")).unionByName(state.select(F.col("low").alias("vertex"), F.col("low").alias("root")).distinct())
+    star = state.select(F.col("high").alias("vertex"), F.col("low").alias("root")).unionByName(state.select(F.col("low").alias("vertex"), F.col("low").alias("root")).distinct())
+    found = names.select("v", F.col("position").alias("vertex")).join(star, "vertex").select(F.col("v").alias("vertex"), "root")
+    held = star.groupBy("root").agg(F.count("*").alias("c"))
+    roots = materialize(held.join(names.select(F.col("position").alias("root"), F.col("v").alias("name")), "root"), "roots")
+    return attach(found, roots, "root", "c", names.count()).select("vertex", F.col("name").alias("root"))
+
+
+def _positions(named: DataFrame, names: DataFrame) -> DataFrame:
+    """Links by positions; a vertex with a third of all links is joined by broadcast."""
+    total = 2 * named.count()
+    side = lambda c: names.select(F.col("v").alias(c), F.col("position").alias(f"p_{c}"), F.col("n").alias(f"n_{c}"))
+    one = attach(named, side("low"), "low", "n_low", total).select("high", "p_low")
+    both = attach(one, side("high"), "high", "n_high", total)
+    return materialize(both.select(F.col("p_low").alias("low"), F.col("p_high").alias("high")), "h2m")
