@@ -5,7 +5,8 @@ indexed in its leaf of every tree. It searches those leaves and, through one pri
 further leaves whose splits it lies nearest to. What travels to a leaf is a sketch of sign bits, not the vector. Leaf
 candidates that the sketch puts in reach are not written out as pairs: each vector takes the least hash of its
 candidates, and vectors that agree on one meet in one place with their full vectors (as sets with a high overlap do by
-min-wise hashing; ``PLACES`` hashes are taken). There all similarities are computed exactly.
+min-wise hashing; ``PLACES`` hashes are taken). A leaf too large for sketches is a place itself. In a place all
+similarities are computed exactly.
 
 Vectors with the same content travel once; their rows are expanded again at the end.
 """
@@ -34,6 +35,8 @@ PLACES = 3
 LEAF = 96
 LEAF_MOST = 2048
 PLACE_MOST = 2048
+#: Most vectors of one comparing task's place; a larger place becomes cells, in some of which any two of its members meet.
+CELL = 16_384
 #: Most vectors the forest's splits are fitted on.
 SAMPLE = 8192
 #: Levels with a split of their own in every node; below, a level's nodes share one.
@@ -200,9 +203,18 @@ def _leaves(code: np.ndarray, bits: np.ndarray, most: int) -> Iterator[np.ndarra
 
 
 def leaf_search(bits: int, reach: int, places: int, most: int):
-    """Reduce side of the search: of one part of a tree, rows ``(id, l0, l1, ...)`` with the least hashes of each vector's candidates."""
+    """Reduce side of the search: of one part of a tree, rows ``(id, l0, l1, ..., dense)``.
 
-    def run(table: pa.Table) -> pa.Table:
+    ``l0, l1, ...`` are the least hashes of each vector's candidates, ``dense`` the leaves that are places: those with over
+    ``most`` vectors.
+    """
+
+    def lists(at: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
+        order = np.argsort(at, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order]))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         codes, ids, sketches = [], [], []
         for blob in table.column("data").to_pylist():
             n = int(np.frombuffer(blob, np.int64, 1)[0])
@@ -213,8 +225,11 @@ def leaf_search(bits: int, reach: int, places: int, most: int):
         home = code & 1 > 0
         known, at = np.unique(ids, return_inverse=True)
         hashes = [_mixed(known, r) for r in range(places)]
-        best = [np.full(len(known), np.iinfo(np.int64).max) for _ in range(places)]
-        for part in _leaves(code >> 1, sketch, most):
+        none = np.iinfo(np.int64).max
+        best = [np.full(len(known), none) for _ in range(places)]
+        members, leaves = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        group = int(key[0].as_py())
+        for part in _leaves(code >> 1, sketch, len(code)):
             # Copies of a vector from other map tasks stand for one; a home row serves as data and as query.
             own = part[home[part]]
             if not len(own):
@@ -222,6 +237,11 @@ def leaf_search(bits: int, reach: int, places: int, most: int):
             _, u = np.unique(at[own], return_index=True)
             own = own[u]
             asking = np.concatenate([own, part[~home[part]]])
+            if len(asking) > most:
+                inside = np.unique(at[asking])
+                members.append(inside)
+                leaves.append(np.full(len(inside), _mixed(np.array([(group << 32) | int(code[part[0]] >> 1)]), places)[0]))
+                continue
             side = np.unpackbits(sketch[asking], axis=1).astype(np.float32) * 2 - 1
             agree = side @ side[: len(own)].T
             q, d = np.nonzero(agree >= bits - 2 * reach)
@@ -230,8 +250,12 @@ def leaf_search(bits: int, reach: int, places: int, most: int):
             q, d = np.concatenate([q[keep], d[keep]]), np.concatenate([d[keep], q[keep]])
             for h, b in zip(hashes, best):
                 np.minimum.at(b, q, h[d])
-        got = best[0] < np.iinfo(np.int64).max
-        return pa.table({"id": known[got]} | {f"l{r}": np.minimum(best[r], hashes[r])[got] for r in range(places)})
+        member, leaf = np.concatenate(members), np.concatenate(leaves)
+        got = best[0] < none
+        least = {f"l{r}": pa.array(np.minimum(best[r], hashes[r]), mask=~got) for r in range(places)}
+        out = pa.table({"id": known} | least | {"dense": lists(member, leaf, len(known))})
+        got[member] = True
+        return out.filter(pa.array(got))
 
     return run
 
@@ -258,28 +282,30 @@ def _unpack(blobs: list[bytes], width: int) -> np.ndarray:
 def place_search(width: int, k: int, similarity: float, most: int):
     """Exact similarities of the vectors that meet in a place: rows ``(id, other, similarity)``, of each vector its best ``k``.
 
-    Input is sorted by place. A place with more than ``most`` vectors is compared in runs of that length, which its second
-    sort key keeps alike.
+    Input is sorted by place. All vectors of a place are compared, with at most ``most`` squared similarities held at once.
     """
 
     def compare(ids: np.ndarray, blobs: list[bytes], out: list) -> None:
         ids, first = np.unique(ids, return_index=True)
         if len(ids) < 2:
             return
-        x = _unpack([blobs[i] for i in first], width).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        y = x.astype(np.float32)
-        s = y @ y.T
-        np.fill_diagonal(s, -2)
+        y = _unpack([blobs[i] for i in first], width)
+        norm = np.sqrt(np.einsum("ij,ij->i", y, y, dtype=np.float64))
+        z = (y / norm[:, None]).astype(np.float32)
         take = min(k + 3, len(ids) - 1)
-        near = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        q = np.repeat(np.arange(len(ids)), take)
-        d = near.ravel()
-        keep = s[q, d] >= similarity - 1e-3
-        q, d = q[keep], d[keep]
-        exact = np.einsum("ij,ij->i", x[q], x[d])
-        keep = exact >= similarity
-        out.append((ids[q[keep]], ids[d[keep]], exact[keep]))
+        step = max(1, most * most // len(ids))
+        for lo in range(0, len(ids), step):
+            s = z[lo : lo + step] @ z.T
+            own = np.arange(len(s))
+            s[own, own + lo] = -2
+            near = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            q = np.repeat(own, take)
+            d = near.ravel()
+            keep = s[q, d] >= similarity - 1e-3
+            q, d = q[keep] + lo, d[keep]
+            exact = np.einsum("ij,ij->i", y[q] / norm[q, None], y[d] / norm[d, None])
+            keep = exact >= similarity
+            out.append((ids[q[keep]], ids[d[keep]], exact[keep]))
 
     def emit(out: list) -> pa.RecordBatch:
         a, b, s = (np.concatenate([o[i] for o in out]) for i in range(3))
@@ -290,27 +316,33 @@ def place_search(width: int, k: int, similarity: float, most: int):
         for b in batches:
             place, ids = np.concatenate([place, np.asarray(b.column(0))]), np.concatenate([ids, np.asarray(b.column(1))])
             blobs += b.column(2).to_pylist()
-            cuts = np.flatnonzero(np.diff(place)) + 1
             start = 0
-            for cut in cuts:
-                for lo in range(start, cut, most):
-                    compare(ids[lo : min(lo + most, cut)], blobs[lo : min(lo + most, cut)], out)
+            for cut in np.flatnonzero(np.diff(place)) + 1:
+                compare(ids[start:cut], blobs[start:cut], out)
                 start = cut
-            while len(place) - start > most:
-                compare(ids[start : start + most], blobs[start : start + most], out)
-                start += most
             place, ids, blobs = place[start:], ids[start:], blobs[start:]
             if out:
                 yield emit(out)
                 out = []
-        for lo in range(0, len(ids), most):
-            compare(ids[lo : lo + most], blobs[lo : lo + most], out)
+        compare(ids, blobs, out)
         if out:
             yield emit(out)
 
     return run
 
 
+def _cells(placed: DataFrame, most: int) -> DataFrame:
+    """Splits a place of over ``most`` vectors into smaller ones, so that any two of its members still share one.
+
+    Its members fall into blocks by their hash, and each two blocks are a cell.
+    """
+    large = placed.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > most).select("place", F.ceil(F.col("n") * 2 / most).alias("blocks"))
+    rows = placed.join(F.broadcast(large), "place", "left")  # at most the rows over ``most``
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks"))
+    cells = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != own), lambda j: F.xxhash64("place", F.least(own, j), F.greatest(own, j)))
+    return rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("place")).otherwise(cells)).alias("place"), "id")
+
+
 def usable(vectors: DataFrame, key: str, vector: str, width: int) -> DataFrame:
     """``(key, vector, id)`` of rows whose vector has exactly ``width`` finite numbers, not all zero; ``id`` hashes its content."""
     rows = vectors.select(norm_key(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"))
@@ -344,19 +376,22 @@ def similar_contents(rows: DataFrame, width: int, k: int, similarity: float, tre
     forest = fit_forest(sample, count, similarity, trees)
     labels = ", ".join(f"l{r} long" for r in range(places))
     blobs = rows.select("id", "vector").mapInArrow(index_blobs(forest, extra), "g long, data binary")
-    found = blobs.groupBy("g").applyInArrow(leaf_search(BITS, forest.reach, places, LEAF_MOST), f"id long, {labels}")
-    meet = materialize(found.groupBy("id").agg(*[F.min(f"l{r}").alias(f"l{r}") for r in range(places)]), "meet")
+    found = blobs.groupBy("g").applyInArrow(leaf_search(BITS, forest.reach, places, LEAF_MOST), f"id long, {labels}, dense array<long>")
+    least = [f"l{r}" for r in range(places)]
+    each = found.groupBy("id").agg(*[F.min(c).alias(c) for c in least], F.flatten(F.collect_list("dense")).alias("dense"))
+    whole = materialize(each.select(F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*least)), "dense"))).alias("place"), "id"), "hosts")
+    hosts = materialize(_cells(whole, CELL), "cells")
+    release(whole)
     del blobs, found
     _sweep(spark)
     data = rows.select("id", "vector").mapInArrow(pack_vectors, "id long, data binary")
-    hosts = F.explode(F.array_distinct(F.array(*[f"l{r}" for r in range(places)])))
-    placed = meet.join(data, "id").select(hosts.alias("place"), "id", "data", F.col(f"l{places - 1}").alias("alike"))
+    placed = hosts.join(data, "id").select("place", "id", "data")
     width_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    compared = placed.repartition(width_parts, "place").sortWithinPartitions("place", "alike", "id").select("place", "id", "data").mapInArrow(place_search(width, k, similarity, PLACE_MOST), "id long, other long, similarity double")
+    compared = placed.repartition(width_parts, "place").sortWithinPartitions("place", "id").mapInArrow(place_search(width, k, similarity, PLACE_MOST), "id long, other long, similarity double")
     best = compared.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "other"))), 1, k).alias("others"))
     out = materialize(best, "near")
     del data, placed, compared, best
-    release(meet)
+    release(hosts)
     _sweep(spark)
     return out
 

@@ -115,3 +115,37 @@ def test_vector_bytes_round_trip():
     batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 24).cast(pa.list_(pa.float32()))], names=["id", "v"])
     (out,) = neighbours.pack_vectors(iter([batch]))
     assert np.array_equal(neighbours._unpack(out.column(1).to_pylist(), 24), x)
+
+
+def found_share(spark, x, least=0.8):
+    """Share of the pairs that brute force finds, and how many pairs were found beyond them."""
+    named = {f"s{i:05}": v for i, v in enumerate(x)}
+    df = spark.createDataFrame([(s, [float(y) for y in v], "", 1) for s, v in named.items()], VEC)
+    got = {(r.a, r.b) for r in neighbours.similar_pairs(df, width=len(x[0])).collect()}
+    y = np.array(x, np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1)[:, :5]
+    keys = sorted(named)
+    want = {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, row in enumerate(near) for j in row if s[i, j] >= least}
+    return len(got & want) / len(want), len(got - want) / len(want)
+
+
+def test_large_leaves_and_places_are_compared_in_full(spark, monkeypatch):
+    for name, most in (("LEAF_MOST", 50), ("PLACE_MOST", 50), ("CELL", 100)):
+        monkeypatch.setattr(neighbours, name, most, raising=False)
+    rng = np.random.default_rng(6)
+    x = [*(rng.standard_normal(32) + rng.standard_normal((600, 32)) * 0.4), *rng.standard_normal((1200, 32))]
+    share, more = found_share(spark, x)
+    assert share >= 0.95 and more <= 0.05
+
+
+def test_any_two_of_a_large_place_share_a_cell(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(300)] + [(8, i) for i in range(5)], "place long, id long")
+    cells = {}
+    for r in neighbours._cells(rows, 50).collect():
+        cells.setdefault(r.place, set()).add(r.id)
+    assert cells.pop(8) == set(range(5))
+    assert {(a, b) for c in cells.values() for a in c for b in c} == {(a, b) for a in range(300) for b in range(300)}
+    assert max(map(len, cells.values())) < 100
