@@ -2,11 +2,11 @@
 
 A tree splits by one random direction a level, at the median of each node (fitted on a bounded sample). A vector is
 indexed in its leaf of every tree. It searches those leaves and, through one priority queue shared by all trees, the
-further leaves whose splits it lies nearest to. What travels to a leaf is a sketch of sign bits, not the vector. Leaf
-candidates that the sketch puts in reach are not written out as pairs: each vector takes the least hash of its
-candidates, and vectors that agree on one meet in one place with their full vectors (as sets with a high overlap do by
-min-wise hashing; ``PLACES`` hashes are taken). A leaf too large for sketches is a place itself. In a place all
-similarities are computed exactly.
+further leaves whose splits it lies nearest to. What travels to a leaf is a sketch of sign bits, not the vector. Every
+leaf candidate that the sketch puts in reach is compared exactly, in a place where full vectors meet. Each vector takes
+the least hash of its candidates, and vectors that agree on one meet (as sets with a high overlap do by min-wise hashing;
+``PLACES`` hashes are taken). Candidates that agree on none meet in a place of their own, and a leaf with very many
+candidates, or too large for sketches, is a place itself. In a place all similarities are computed exactly.
 
 Vectors with the same content travel once; their rows are expanded again at the end.
 """
@@ -35,6 +35,8 @@ PLACES = 3
 LEAF = 96
 LEAF_MOST = 2048
 PLACE_MOST = 2048
+#: Candidates a member from which a leaf becomes a place, instead of its pairs being listed.
+DENSE = 64
 #: Most vectors of one comparing task's place; a larger place becomes cells, in some of which any two of its members meet.
 CELL = 16_384
 #: Most vectors the forest's splits are fitted on.
@@ -203,10 +205,10 @@ def _leaves(code: np.ndarray, bits: np.ndarray, most: int) -> Iterator[np.ndarra
 
 
 def leaf_search(bits: int, reach: int, places: int, most: int):
-    """Reduce side of the search: of one part of a tree, rows ``(id, l0, l1, ..., dense)``.
+    """Reduce side of the search: of one part of a tree, rows ``(id, l0, l1, ..., others, dense)``.
 
-    ``l0, l1, ...`` are the least hashes of each vector's candidates, ``dense`` the leaves that are places: those with over
-    ``most`` vectors.
+    ``l0, l1, ...`` are the least hashes of each vector's candidates, ``others`` its candidates of a greater id, ``dense``
+    the leaves that are places: those with over ``most`` vectors or ``DENSE`` candidates a member.
     """
 
     def lists(at: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
@@ -227,7 +229,7 @@ def leaf_search(bits: int, reach: int, places: int, most: int):
         hashes = [_mixed(known, r) for r in range(places)]
         none = np.iinfo(np.int64).max
         best = [np.full(len(known), none) for _ in range(places)]
-        members, leaves = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        pairs, members, leaves = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         group = int(key[0].as_py())
         for part in _leaves(code >> 1, sketch, len(code)):
             # Copies of a vector from other map tasks stand for one; a home row serves as data and as query.
@@ -237,23 +239,28 @@ def leaf_search(bits: int, reach: int, places: int, most: int):
             _, u = np.unique(at[own], return_index=True)
             own = own[u]
             asking = np.concatenate([own, part[~home[part]]])
-            if len(asking) > most:
+            dense = len(asking) > most
+            if not dense:
+                side = np.unpackbits(sketch[asking], axis=1).astype(np.float32) * 2 - 1
+                agree = side @ side[: len(own)].T
+                q, d = np.nonzero(agree >= bits - 2 * reach)
+                q, d = at[asking[q]], at[own[d]]
+                keep = q != d
+                q, d = q[keep], d[keep]
+                dense = len(q) > DENSE * len(asking)
+            if dense:
                 inside = np.unique(at[asking])
                 members.append(inside)
                 leaves.append(np.full(len(inside), _mixed(np.array([(group << 32) | int(code[part[0]] >> 1)]), places)[0]))
                 continue
-            side = np.unpackbits(sketch[asking], axis=1).astype(np.float32) * 2 - 1
-            agree = side @ side[: len(own)].T
-            q, d = np.nonzero(agree >= bits - 2 * reach)
-            q, d = at[asking[q]], at[own[d]]
-            keep = q != d
-            q, d = np.concatenate([q[keep], d[keep]]), np.concatenate([d[keep], q[keep]])
+            pairs.append(np.unique(np.minimum(q, d) * len(known) + np.maximum(q, d)))
+            q, d = np.concatenate([q, d]), np.concatenate([d, q])
             for h, b in zip(hashes, best):
                 np.minimum.at(b, q, h[d])
-        member, leaf = np.concatenate(members), np.concatenate(leaves)
+        pair, member, leaf = np.unique(np.concatenate(pairs)), np.concatenate(members), np.concatenate(leaves)
         got = best[0] < none
         least = {f"l{r}": pa.array(np.minimum(best[r], hashes[r]), mask=~got) for r in range(places)}
-        out = pa.table({"id": known} | least | {"dense": lists(member, leaf, len(known))})
+        out = pa.table({"id": known} | least | {"others": lists(pair // len(known), known[pair % len(known)], len(known)), "dense": lists(member, leaf, len(known))})
         got[member] = True
         return out.filter(pa.array(got))
 
@@ -331,6 +338,18 @@ def place_search(width: int, k: int, similarity: float, most: int):
     return run
 
 
+def _places(found: DataFrame, places: int) -> tuple[DataFrame, DataFrame]:
+    """``(place, id)`` such that any two candidates of ``found`` share a place, and what to release once that is read."""
+    least = [f"l{r}" for r in range(places)]
+    whole = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    each = found.groupBy("id").agg(*[F.min(c).alias(c) for c in least], whole("others").alias("others"), whole("dense").alias("dense"))
+    meet = materialize(each.select("id", F.array_distinct(F.concat(F.array_compact(F.array(*least)), "dense")).alias("hosts"), "others"), "meet")
+    links = meet.select("id", F.col("hosts").alias("mine"), F.explode("others").alias("other"))
+    apart = links.join(meet.select(F.col("id").alias("other"), "hosts"), "other").where(~F.arrays_overlap("mine", "hosts")).select("id", "other")
+    stars = apart.groupBy("id").agg(F.collect_list("other").alias("others")).select(F.xxhash64("id", F.lit("star")).alias("place"), F.explode(F.concat("others", F.array("id"))).alias("id"))
+    return meet.select(F.explode("hosts").alias("place"), "id").unionByName(stars), meet
+
+
 def _cells(placed: DataFrame, most: int) -> DataFrame:
     """Splits a place of over ``most`` vectors into smaller ones, so that any two of its members still share one.
 
@@ -376,12 +395,12 @@ def similar_contents(rows: DataFrame, width: int, k: int, similarity: float, tre
     forest = fit_forest(sample, count, similarity, trees)
     labels = ", ".join(f"l{r} long" for r in range(places))
     blobs = rows.select("id", "vector").mapInArrow(index_blobs(forest, extra), "g long, data binary")
-    found = blobs.groupBy("g").applyInArrow(leaf_search(BITS, forest.reach, places, LEAF_MOST), f"id long, {labels}, dense array<long>")
-    least = [f"l{r}" for r in range(places)]
-    each = found.groupBy("id").agg(*[F.min(c).alias(c) for c in least], F.flatten(F.collect_list("dense")).alias("dense"))
-    whole = materialize(each.select(F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*least)), "dense"))).alias("place"), "id"), "hosts")
+    found = blobs.groupBy("g").applyInArrow(leaf_search(BITS, forest.reach, places, LEAF_MOST), f"id long, {labels}, others array<long>, dense array<long>")
+    hosts, meet = _places(found, places)
+    whole = materialize(hosts, "hosts")
     hosts = materialize(_cells(whole, CELL), "cells")
     release(whole)
+    release(meet)
     del blobs, found
     _sweep(spark)
     data = rows.select("id", "vector").mapInArrow(pack_vectors, "id long, data binary")

@@ -132,6 +132,27 @@ def found_share(spark, x, least=0.8):
     return len(got & want) / len(want), len(got - want) / len(want)
 
 
+def test_hubs_and_spokes(spark):
+    rng = np.random.default_rng(4)
+    x = []
+    for hub in rng.standard_normal((60, 64)):
+        hub /= np.linalg.norm(hub)
+        x.append(hub)
+        for side in rng.standard_normal((30, 64)):
+            side -= (side @ hub) * hub
+            x.append(0.84 * hub + np.sqrt(1 - 0.84**2) * side / np.linalg.norm(side))
+    share, more = found_share(spark, x)
+    assert share >= 0.95 and more <= 0.05
+
+
+def test_cluster_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(32)
+    x = [*(centre + rng.standard_normal((3000, 32)) * 0.4), *rng.standard_normal((6000, 32))]
+    share, more = found_share(spark, x)
+    assert share >= 0.95 and more <= 0.05
+
+
 def test_large_leaves_and_places_are_compared_in_full(spark, monkeypatch):
     for name, most in (("LEAF_MOST", 50), ("PLACE_MOST", 50), ("CELL", 100)):
         monkeypatch.setattr(neighbours, name, most, raising=False)
