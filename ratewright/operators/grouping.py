@@ -27,6 +27,36 @@ def near_pairs(codes: DataFrame, radius: int = 6, blocks: int = 4) -> DataFrame:
     return a.join(b, "k").where((F.col("code_a") < F.col("code_b")) & (hamming64(F.col("code_a"), F.col("code_b")) <= radius)).select("code_a", "code_b").distinct()
 
 
+def hexed(code: Column | str) -> Column:
+    """The 16 hex digits of a code."""
+    return F.lpad(F.lower(F.hex(code)), 16, "0")
+
+
+def near_images(rows: DataFrame, radius: int = 6) -> DataFrame:
+    """``(image_a, image_b, bits)``, a before b: images of ``rows (image_id, sha256, code)`` within ``radius`` bits, equal
+    codes included, but not those of one sha256. A null sha256 equals none; rows without a code take no part.
+    """
+    c = rows.where("image_id is not null and code is not null").select("image_id", "sha256", "code").distinct()
+    a, b = (c.select(F.col("image_id").alias(f"i{x}"), F.col("sha256").alias(f"s{x}"), F.col("code").alias(f"code_{x}")) for x in "ab")
+    near = near_pairs(c, radius).unionByName(c.select(F.col("code").alias("code_a"), F.col("code").alias("code_b")).distinct())
+    pairs = near.join(a, "code_a").join(b, "code_b").where(~F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)) & (F.col("ia") != F.col("ib")))
+    return pairs.select(F.least("ia", "ib").alias("image_a"), F.greatest("ia", "ib").alias("image_b"), hamming64(F.col("code_a"), F.col("code_b")).alias("bits")).distinct()
+
+
+def image_groups(rows: DataFrame, radius: int = 6) -> DataFrame:
+    """``(image_id, hash, keeper, first_image, images)``: single linkage of ``rows (image_id, code)`` within ``radius`` bits.
+
+    Every image with a code is in a group, alone or not: of the group, ``keeper`` is the least code, ``first_image`` the
+    least image and ``images`` how many it has.
+    """
+    c = rows.where("image_id is not null and code is not null").select("image_id", hexed("code").alias("hash")).distinct()
+    labels = least_labels(near_pairs(rows, radius).select(hexed("code_a").alias("a"), hexed("code_b").alias("b")))
+    kept = c.select("hash").distinct().join(labels.select(F.col("vertex").alias("hash"), "label"), "hash", "left").select("hash", F.coalesce("label", "hash").alias("keeper"))
+    members = c.join(kept, "hash")
+    sizes = members.groupBy("keeper").agg(F.min("image_id").alias("first_image"), F.countDistinct("image_id").alias("images"))
+    return members.join(sizes, "keeper").select("image_id", "hash", "keeper", "first_image", "images")
+
+
 def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of ``edges (a, b)`` as ``(vertex, label)``, label the least vertex. Each round a vertex takes the least
     label around it and then that label's own label, so rounds grow with the logarithm of a chain's length in practice.

@@ -51,11 +51,20 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
 def phash_groups(spark: SparkSession, d: str) -> DataFrame:
     """Single linkage over fingerprints within 6 bits: each fingerprint of a group and the group's least."""
     c = images(spark, d).select(G.hash_code(F.col("perceptual_hash")).alias("code"))
-    hexed = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
-    pairs = G.near_pairs(c).select(hexed(F.col("code_a")).alias("a"), hexed(F.col("code_b")).alias("b"))
+    pairs = G.near_pairs(c).select(G.hexed("code_a").alias("a"), G.hexed("code_b").alias("b"))
     return G.least_labels(pairs).select(F.col("vertex").alias("hash"), F.col("label").alias("keeper"))
 
 
+def near_duplicate_images(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of images with different content and fingerprints within 6 bits, equal ones included; of null content each differs."""
+    return G.near_images(images(spark, d).select("image_id", "sha256", G.hash_code(F.col("perceptual_hash")).alias("code")))
+
+
+def phash_members(spark: SparkSession, d: str) -> DataFrame:
+    """Group of each image with a fingerprint, by single linkage within 6 bits: its fingerprint, the group's least and its first image."""
+    return G.image_groups(images(spark, d).select("image_id", G.hash_code(F.col("perceptual_hash")).alias("code")))
+
+
 def creator_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "dataset_image").select("creator").distinct()
     return rows.select("creator", G.creator_group(F.col("creator")).alias("creator_group"))
@@ -193,7 +202,7 @@ def mime_checks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_duplicates, first_of_content, corpus_collisions, near_duplicate_pairs, phash_groups, creator_groups, clusters_from_creators, source_counts, resolution_spread, describe_scalars, distribution_deciles, modes, coverage_bins, label_conflicts, merge_human_labels, cache_first_wins, features_last_wins, latest_image_state, cache_prune, manifest_index, quota_plan, quota_rollup, mime_checks)
+    for f in (exact_duplicates, first_of_content, corpus_collisions, near_duplicate_pairs, phash_groups, near_duplicate_images, phash_members, creator_groups, clusters_from_creators, source_counts, resolution_spread, describe_scalars, distribution_deciles, modes, coverage_bins, label_conflicts, merge_human_labels, cache_first_wins, features_last_wins, latest_image_state, cache_prune, manifest_index, quota_plan, quota_rollup, mime_checks)
 }
 
 _K = P._K
@@ -208,6 +217,8 @@ SQL = {
     "corpus_collisions": f"with {_IMG}, m as (select distinct {_K('sha256')} as sha256 from manifest where {_K('sha256')} is not null) select role, count(distinct sha256) as n from m join img using (sha256) group by 1 union all select 'new', count(*) from m where sha256 not in (select sha256 from img where sha256 is not null)",
     "near_duplicate_pairs": f"with {_CODE} select distinct a.image_id as image_a, b.image_id as image_b, bit_count(xor(a.h, b.h))::int as bits from c a join c b on a.image_id < b.image_id and a.h <> b.h and bit_count(xor(a.h, b.h)) <= 6",
     "phash_groups": f"with recursive {_CODE}, h as (select distinct h from c), e as (select a.h as a, b.h as b from h a join h b on a.h <> b.h and bit_count(xor(a.h, b.h)) <= 6), w as (select a as v, a as u from e union select w.v, e.b from w join e on e.a = w.u) select printf('%016x', v) as hash, min(printf('%016x', u)) as keeper from w group by v",
+    "near_duplicate_images": f"with {_IMG}, c as (select distinct image_id, sha256, cast(('0x' || lower(trim(perceptual_hash))) as ubigint) as h from img where regexp_full_match(lower(trim(perceptual_hash)), '[0-9a-f]{{16}}')) select distinct a.image_id as image_a, b.image_id as image_b, bit_count(xor(a.h, b.h))::int as bits from c a join c b on a.image_id < b.image_id and (a.sha256 = b.sha256) is not true and bit_count(xor(a.h, b.h)) <= 6",
+    "phash_members": f"with recursive {_CODE}, h as (select distinct h from c), e as (select a.h as a, b.h as b from h a join h b on bit_count(xor(a.h, b.h)) <= 6), w as (select a as v, a as u from e union select w.v, e.b from w join e on e.a = w.u), g as (select v as h, min(u) as k from w group by v) select image_id, printf('%016x', h) as hash, printf('%016x', k) as keeper, min(image_id) over (partition by k) as first_image, count(distinct image_id) over (partition by k) as images from c join g using (h)",
     "creator_groups": f"select distinct creator, {_GROUP} as creator_group from dataset_image",
     "clusters_from_creators": f"with r as (select distinct {_K('image_id')} as image_id, {_GROUP} as g from dataset_image) select image_id, case when g is not null and count(*) over (partition by g) > 1 then g else 'image:' || image_id end as cluster from r",
     "source_counts": f"with {_IMG} select coalesce(source, 'TOTAL') as source, coalesce(role, 'ALL') as role, count(*) as n from (select distinct image_id, source, role from img) group by rollup(source, role)",

@@ -291,6 +291,15 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6}
 
 
+def test_images_of_one_fingerprint(spark):
+    rows = [("a", "x", 5), ("b", "y", 5), ("c", "y", 5), ("d", None, 5), ("e", "z", 4), ("f", "w", -1), ("g", "w", -1), ("h", "v", 1 << 40 | 0xFFFFFFF0000), ("i", "u", None), ("a", "x", 5)]
+    df = spark.createDataFrame(rows, "image_id string, sha256 string, code long")
+    pairs = {tuple(r) for r in G.near_images(df).collect()}
+    assert pairs == {("a", "b", 0), ("a", "c", 0), ("a", "d", 0), ("b", "d", 0), ("c", "d", 0)} | {(x, "e", 1) for x in "abcd"}
+    groups = {r.image_id: (r.hash[-1], r.keeper[-1], r.first_image, r.images) for r in G.image_groups(df).collect()}
+    assert groups == {x: ("5", "4", "a", 5) for x in "abcd"} | {"e": ("4", "4", "a", 5), "f": ("f", "f", "f", 2), "g": ("f", "f", "f", 2), "h": ("0", "0", "h", 1)}
+
+
 def test_quantile_rules(spark):
     rng = random.Random(1)
     x = sorted(rng.choice([rng.gauss(0, 5), 0.0, 1.0, -3.5]) for _ in range(501))
