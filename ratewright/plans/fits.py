@@ -32,10 +32,18 @@ def isotonic_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def isotonic_fitted(spark: SparkSession, d: str) -> DataFrame:
     """The fit at each distinct x of the resolution axis, as the block that holds it says."""
-    o = observations(spark, d).where("axis = 'resolution'")
+    return _fitted(observations(spark, d).where("axis = 'resolution'")).select("x", "fitted")
+
+
+def isotonic_fitted_axes(spark: SparkSession, d: str) -> DataFrame:
+    """The fit at each distinct x of every axis. The max-min form is too slow for its SQL; the tests state it on few rows."""
+    return _fitted(observations(spark, d))
+
+
+def _fitted(o: DataFrame) -> DataFrame:
     b = I.isotonic(o, ["axis"], "x", "level").groupBy("axis").agg(F.array_sort(F.collect_list(F.struct("x", "fitted"))).alias("b"))
     at = F.try_element_at(F.filter("b", lambda k: k["x"] >= F.col("x")), F.lit(1))["fitted"]
-    return o.select("axis", "x").distinct().join(F.broadcast(b), "axis").select("x", F.round(at, 6).alias("fitted"))
+    return o.select("axis", "x").distinct().join(F.broadcast(b), "axis").select("axis", "x", F.round(at, 6).alias("fitted"))
 
 
 def isotonic_knots(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +121,7 @@ def calibration_counts(spark: SparkSession, d: str) -> DataFrame:
     return per.join(m, "axis").select("axis", "n", thin.alias("thin"), F.round(F.col("k") / F.col("n"), 6).alias("mode_share"))
 
 
-QUERIES = {f.__name__: f for f in (isotonic_blocks, isotonic_fitted, isotonic_knots, calibration_folds, cross_validated, boundary_threshold, threshold_levels, class_medians, split_by_cluster, group_folds, nested_folds, calibration_counts)}
+QUERIES = {f.__name__: f for f in (isotonic_blocks, isotonic_fitted, isotonic_fitted_axes, isotonic_knots, calibration_folds, cross_validated, boundary_threshold, threshold_levels, class_medians, split_by_cluster, group_folds, nested_folds, calibration_counts)}
 
 _OBS = f"""{P._LEVELS}, cl as ({D.SQL['clusters_from_creators'].replace('with r as', 'with rr as').replace('from r', 'from rr')}),
 sx as ({' union all '.join(f"select sha256, '{a}' as axis, round({c}, 9) as x from axes where ev = 'v8' and {c} is not null" for a, c in (('sharpness', 'sharp_raw'), ('lighting', 'lighting_raw'), ('resolution', 'edge'), ('framing', 'framing_raw')))}),

@@ -17,6 +17,7 @@ from ratewright.operators import kernels as K
 from ratewright.operators import scoring as S
 from ratewright.operators import state as St
 from ratewright.operators import summary as Y
+from ratewright.plans import fits
 from ratewright.sources import manifest_lines as L
 
 UNITS = ["-1-", "---", "-22", "-11", "-33", "334", "444", "13-", "2-2", "1-1", "1-1", "3-3", "3-3", "---", "3-4"]
@@ -291,6 +292,20 @@ def test_near_pairs_equal_brute_force(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6}
 
 
+def test_isotonic_fitted_axes_equal_max_min(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(axis, f"i{n}", "c", float(rng.randrange(12)), rng.randrange(1, 6)) for axis in ("sharpness", "lighting", "resolution", "framing") for n in range(40)]
+    monkeypatch.setattr(fits, "observations", lambda s, d: s.createDataFrame(rows, "axis string, image_id string, cluster string, x double, level int"))
+    want = {}
+    for axis in {r[0] for r in rows}:
+        own = [(r[3], r[4]) for r in rows if r[0] == axis]
+        xs = sorted({x for x, _ in own})
+        mean = lambda lo, hi: sum(y for x, y in own if lo <= x <= hi) / sum(lo <= x <= hi for x, _ in own)  # noqa: B023, E731
+        want |= {(axis, x): max(min(mean(lo, hi) for hi in xs if hi >= x) for lo in xs if lo <= x) for x in xs}
+    got = {(r.axis, r.x): r.fitted for r in fits.QUERIES["isotonic_fitted_axes"](spark, "").collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_images_of_one_fingerprint(spark):
     rows = [("a", "x", 5), ("b", "y", 5), ("c", "y", 5), ("d", None, 5), ("e", "z", 4), ("f", "w", -1), ("g", "w", -1), ("h", "v", 1 << 40 | 0xFFFFFFF0000), ("i", "u", None), ("a", "x", 5)]
     df = spark.createDataFrame(rows, "image_id string, sha256 string, code long")
