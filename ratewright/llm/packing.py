@@ -230,7 +230,9 @@ def pack_items(items: DataFrame, capacity: int, item: str = "item", size: str =
 
 def pack_documents(docs: DataFrame, specs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """Documents into the containers of each spec ``(spec_id, capacity_tokens, tokenizer)``; sizes are tokens of its tokenizer."""
-    wanted = specs.select("spec_id", "capacity_tokens", "tokenizer").distinct().orderBy("spec_id").limit(MOST_SPECS).collect()
+    wanted = specs.select("spec_id", "capacity_tokens", "tokenizer").distinct().orderBy("spec_id").limit(MOST_SPECS + 1).collect()
+    if len(wanted) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container specs")
     sizes: dict[str, DataFrame] = {}
     out = None
     for s in wanted:

@@ -106,6 +106,13 @@ def test_packing_ties_and_nothing(spark):
         packing.pack_items(df, 0)
 
 
+def test_too_many_specs_are_refused(spark):
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    specs = spark.range(packing.MOST_SPECS + 1).selectExpr("id as spec_id", "16 as capacity_tokens", "'byte_bpe_50k' as tokenizer")
+    with pytest.raises(ValueError, match="container specs"):
+        packing.pack_documents(docs, specs)
+
+
 def test_nnls_against_exact():
     a = np.array([[2.0, 0, 1], [0, 3, 1], [0, 0, 1]])
     x = np.array([5.0, 0, 2])
