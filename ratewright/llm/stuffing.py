@@ -1,17 +1,16 @@
 """Pages of repeated keywords, links or product tags instead of sentences: robust outliers in spam-directed directions.
 
-Each text is described by a few shares and rates (density, entropy, repetition, function words). Per language their robust
-centre and scatter are fitted, by medians first and then by trimmed means and covariances over all documents. A document
-is suspect if its Mahalanobis distance is large and it lies on the side that spam lies on. Of the suspects, those remain
-that are spam by more than half of their characters, counted piece by piece.
+Each text is measured by densities (links, tags and prices, and the stretches without function words that hold them), by
+repetition (words said again in stretches without function words, words said again and again within few words, repeated
+runs of four words, the share of the two commonest words), and by the entropy of its content words. Per language their
+robust centre and scatter are fitted over all texts. A document is flagged by its Mahalanobis distance alone, taken over
+those of its deviations that point to where spam lies. No rule on the text decides anything.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.common import materialize, norm_key
+from ratewright.common import materialize, norm_key, release
 
 #: Frequent function words of the four languages (fixed values).
 FUNCTION_WORDS = {
@@ -32,288 +31,256 @@ FUNCTION_WORDS = {
 WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 ANY = frozenset().union(*WORDS_OF.values())
 
-INVISIBLE = regex.compile(r"[­​-‏⁠﻿]")
-LINK = regex.compile(r"<a\b[^>]{0,500}>[^<]{0,200}</a>|\[[^\]\n]{0,200}\]\((?:https?://|www\.)[^)\s]{0,500}\)|(?:https?://|www\.)[^\s<>\"]+", regex.I)
-TAG = regex.compile(r"#[\w-]+")
-STRUCTURED = regex.compile(r"\"[\w .-]{1,40}\"\s*:\s*(?:\"(?:[^\"\\\n]|\\.)*\"|[-\d.]+|true|false|null|[\[{])[\s,}\]]*")
-CARD = regex.compile(r"^[ \t]*[\p{L}][\p{L}\d ]{1,24}: \S[^\n,;/]{0,60}$", regex.M)
-LABEL = regex.compile(r"\b(?:tags|keywords?|schlagwörter|stichwörter|mots[- ]clés|etiquetas|palabras clave)\s*[:=]", regex.I)
-PRODUCT = regex.compile(r"(?:\d[\d.,]*\s?(?:€|eur\b|usd\b|gbp\b)|[€$£]\s?\d)|\b(?:sku|art|ref|no|nr|item)[.:#-]?\s?\d{3,}\b|\b\d{1,4}\s?[x×]\s?\d{1,4}\b", regex.I)
-CODE = regex.compile(r"\b(?:sku|art|ref|no|nr|item)[.:#-]?\s?\d{3,}\b|\d+[.,]\d\d\b", regex.I)
-SENTENCE = regex.compile(r"[^.!?…\n]*(?:[.!?…]+|\n|$)")
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+INVISIBLE = regex.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+#: What counts as one token: a link with its label, a tag (also a labelled list of them, prices, sizes, product codes), a word.
+#: Every repetition is possessive and stops at the sign that would begin the token anew, so that any text takes linear time.
+TOKEN = regex.compile(
+    r"""<a\b[^<>]*+>[^<]*+</a>|\[[^\[\]\n]*+\]\([^()\s]*+\)|(?:https?://|www\.)[^\s<>"')\]]++
+    |\#[\w-]++|\b(?:tags|keywords?|schlagwörter|stichwörter|mots[- ]clés|etiquetas|palabras[ ]clave)\s*+[:=][^\n]*+
+    |[€$£]\s?\d[\d.,]*+|\d[\d.,]*+\s?(?:€|eur\b|usd\b|gbp\b)|\d++\s?[x×]\s?\d++|\b(?:sku|art|ref|no|nr|item)[.:\#-]?\s?\d++
+    |[\p{L}\p{N}]++""",
+    regex.X,
+)
+CODE = regex.compile(r"\d++[x×]\d++|(?:sku|art|ref|no|nr|item)\d++|\d++(?:eur|usd|gbp)")
 SWAPPED = regex.compile(r"(?<=\p{L})[01345](?=\p{L}|\b)|\b[0345](?=\p{L})")
 LETTERS = str.maketrans("01345", "oieas")
-
-FEATURES = ["link_share", "tag_share", "product_share", "list_share", "repeat_share", "stuffed_share", "word_entropy", "function_share"]
-#: Direction of spam in each feature.
-TOWARDS = np.array([1, 1, 1, 1, 1, 1, -1, -1], float)
-
-
-def _spans(pattern: regex.Pattern, text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in pattern.finditer(text)]
-
-
-def _fill(mask: np.ndarray, spans: list[tuple[int, int]], value: int) -> None:
-    for a, b in spans:
-        mask[a:b] = value
-
-
-#: Characters described at a time; longer texts are described in parts, and the parts averaged by length.
-PART = 200_000
-
-
-def describe(text: str | None) -> tuple[list[float], float, str]:
-    """Features of a text, the share of its characters that is spam, and the language its function words are of."""
-    if text and len(text) > PART:
-        parts, at = [], 0
-        while at < len(text):
-            end = at + PART
-            if end < len(text):
-                end = max(text.rfind("\n", at + PART // 2, end), text.rfind(" ", at + PART // 2, end), -1) + 1 or end
-            own = text[at:end]
-            parts.append((*_describe(own), len(own.strip())))
-            at = end
-        total = max(1, sum(p[3] for p in parts))
-        langs: Counter[str] = Counter()
-        for p in parts:
-            langs[p[2]] += p[3]
-        return [sum(p[0][i] * p[3] for p in parts) / total for i in range(len(FEATURES))], sum(p[1] * p[3] for p in parts) / total, max(langs, key=lambda k: (langs[k], k))
-    return _describe(text)
-
-
-def _describe(text: str | None) -> tuple[list[float], float, str]:
-    t = INVISIBLE.sub("", html.unescape(unicodedata.normalize("NFC", text or "")))
-    raw = len(t.strip())
-    if not raw:
-        return [0.0] * 6 + [1.0, 1.0], 0.0, ""
-    lower = t.lower()
-    # 1 link, 2 tag, 3 structured, 0 running text
-    kind = np.zeros(len(t), np.int8)
-    _fill(kind, _spans(STRUCTURED, t), 3)
-    links = _spans(LINK, t)
-    _fill(kind, links, 1)
-    tags = [(a, b) for a, b in _spans(TAG, t) if kind[a] == 0]
-    _fill(kind, tags, 2)
-    for m in CARD.finditer(t):
-        if not LABEL.match(m.group().strip()) and kind[m.start() : m.end()].max() == 0:
-            kind[m.start() : m.end()] = 3
-    space = np.array([c.isspace() for c in t])
-    solid = ~space
-    total = int(solid.sum())
-    spam = solid & ((kind == 1) | (kind == 2))
-    product = np.zeros(len(t), bool)
-    listed = np.zeros(len(t), bool)
-    stuffed = np.zeros(len(t), bool)
-    repeated = np.zeros(len(t), bool)
-    fw = n_words = 0
-    counts: Counter[str] = Counter()
-    lang_hits: Counter[str] = Counter()
-    seen: dict[str, list[tuple[int, int]]] = {}
-    block: list[tuple[int, int, list[str]]] = []
-    undecided: list[tuple[int, int, list[str]]] = []
-    said: set[str] = set()
-    sentences: list[tuple[int, int, Counter, int]] = []
-    phrases: Counter = Counter()
-
-    def close() -> None:
-        """A run of pieces that are no sentences: spam if it says the same words again and again or is tied to links and tags."""
-        if not block:
-            return
-        lo, hi = block[0][0], block[-1][1]
-        flat = [w for *_, ws in block for w in ws]
-        own = kind[lo:hi]
-        solid_here = solid[lo:hi]
-        marked = (own == 1) | (own == 2) | product[lo:hi]
-        share = (marked & solid_here).sum() / max(1, solid_here.sum())
-        c = Counter(flat)
-        pairs = Counter(zip(flat, flat[1:]))
-        again = sum(v for v in pairs.values() if v >= 3) / max(1, len(flat) - 1)
-        loose = sum(v for w, v in c.items() if v >= 2 and not w.isdigit()) / max(1, len(flat))
-        most = max(c.values(), default=0)
-        if again >= 0.3 or most >= 4 and most >= 0.25 * len(flat) or share >= 0.3 or LABEL.search(t, lo, hi) or len(flat) >= 40 and loose >= 0.6 and len(flat) / len(c) >= 1.8:
-            spam[lo:hi] |= solid_here & (own != 3)
-            repeated[lo:hi] = again >= 0.3 or most >= 4 and most >= 0.25 * len(flat)
-            said.update(flat)
-        elif flat:
-            undecided.append((lo, hi, flat))
-        block.clear()
-
-    for m in SENTENCE.finditer(t):
-        a, b = m.span()
-        if a == b or not solid[a:b].any():
-            continue
-        own = kind[a:b]
-        if (own == 3).sum() > (b - a) / 2:
-            close()
-            continue
-        plain = "".join(ch if k == 0 else " " for ch, k in zip(lower[a:b], own)) if own.any() else lower[a:b]
-        ws = [SWAPPED.sub(lambda x: x.group().translate(LETTERS), w) for w in WORD.findall(plain)]
-        if not ws:
-            if (own == 1).any() or (own == 2).any():
-                block.append((a, b, []))
-            continue
-        hits = sum(w in ANY for w in ws)
-        fw += hits
-        n_words += len(ws)
-        counts.update(ws)
-        for k, own_words in WORDS_OF.items():
-            lang_hits[k] += sum(w in own_words for w in ws)
-        content = [w for w in ws if w not in ANY and not w.isdigit()]
-        if PRODUCT.search(plain) and CODE.search(plain) and hits <= len(ws) * 0.15 and len(content) >= 2:
-            product[a:b] = True
-            listed[a:b] = True
-            block.append((a, b, ws))
-            continue
-        if hits < max(1, 0.15 * len(ws)):
-            listed[a:b] = True
-            block.append((a, b, ws))
-            continue
-        pairs = Counter(x for x in zip(ws, ws[1:]) if x[0] not in ANY and x[1] not in ANY)
-        pairs.update(w for w in content if len(w) >= 6)
-        phrases.update(pairs)
-        sentences.append((a, b, pairs, len(ws)))
-        close()
-        seen.setdefault(" ".join(ws), []).append((a, b))
-    close()
-    # A phrase said twice in a sentence is chance, unless the text keeps saying it; one that is an eighth of all that the
-    # text says is its keyword.
-    for a, b, pairs, n in sentences:
-        for phrase, times in pairs.items():
-            size = 2 if isinstance(phrase, tuple) else 1
-            heavy = phrases[phrase] >= 4 and size * phrases[phrase] >= 0.12 * n_words
-            twice = times >= 2 and size * times >= 0.15 * n and (phrases[phrase] >= 4 if size == 2 else phrases[phrase] >= 0.04 * n_words and phrases[phrase] >= 4)
-            if twice or times >= 3 and size == 2 or heavy and size * times >= 0.25 * n:
-                stuffed[a:b] = True
-                spam[a:b] |= solid[a:b]
-                break
-    # Lists cut in two by something else go with the part that is known to be spam.
-    for lo, hi, flat in undecided:
-        if len(flat) >= 4 and sum(w in said for w in flat) >= 0.4 * len(flat):
-            listed[lo:hi] = True
-            spam[lo:hi] |= solid[lo:hi] & (kind[lo:hi] != 3)
-    for places in seen.values():
-        if len(places) >= 4:
-            for a, b in places:
-                repeated[a:b] = True
-                spam[a:b] |= solid[a:b]
-    share = lambda mask: float((mask & solid).sum()) / max(1, total)
-    if n_words >= 2:
-        p = np.array(list(counts.values())) / n_words
-        entropy = float(-(p * np.log2(p)).sum() / math.log2(min(n_words, 400)))
-    else:
-        entropy = 1.0
-    flat_again = share(repeated)
-    lang = max(lang_hits, key=lambda k: (lang_hits[k], k)) if lang_hits and max(lang_hits.values()) else ""
-    features = [share(kind == 1), share(kind == 2), share(product), share(listed & spam), flat_again, share(stuffed), entropy, fw / max(1, n_words) if n_words else 0.0]
-    return features, share(spam), lang
-
-
-def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+CONTENT, LINK, TAG, FUNCTION, NUMBER = range(5)
+
+FEATURES = ["link_density", "tag_density", "marked_density", "bare_repetition", "chained_repetition", "phrase_repetition", "top_words", "word_entropy"]
+#: Direction of spam in each feature, and the value that a text without any sign of it has.
+TOWARDS = np.array([1, 1, 1, 1, 1, 1, 1, -1], float)
+NEUTRAL = np.array([0, 0, 0, 0, 0, 0, 0, 1], float)
+#: Each text is measured as if so many characters without any sign of spam followed: short texts prove little.
+PRIOR = 160
+#: A word is chained if it is said ``CHAIN`` times, each within ``NEAR`` words of the time before on average.
+CHAIN, NEAR = 4, 12
+#: Words repeated in a run of so many words are a repeated phrase.
+PHRASE = 4
+#: Characters measured at a time, the last text of a lot whole.
+LOT = 2_000_000
+
+
+class Words:
+    """Numbers, kinds and lengths of the tokens of a lot; a letter written as a digit is the letter."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.kinds: list[int] = []
+        self.sizes: list[int] = []
+        self.langs: list[int] = []
+
+    def add(self, word: str) -> int:
+        plain = word if word[0] in "<[#" or not any(c in "01345" for c in word) else SWAPPED.sub(lambda m: m.group().translate(LETTERS), word)
+        if plain != word and word.isalnum() and not CODE.fullmatch(word):
+            self.ids[word] = self.number(plain)
+        else:
+            self.ids[word] = self._new(word)
+        return self.ids[word]
+
+    def number(self, word: str) -> int:
+        got = self.ids.get(word)
+        return self.add(word) if got is None else got
+
+    def _new(self, word: str) -> int:
+        if word[0] in "<[" or "://" in word or word.startswith("www."):
+            kind = LINK
+        elif not word.isalnum() or CODE.fullmatch(word):
+            kind = TAG
+        else:
+            kind = NUMBER if word.isdigit() else FUNCTION if word in ANY else CONTENT
+        self.kinds.append(kind)
+        self.sizes.append(len(word))
+        self.langs.append(sum(1 << i for i, k in enumerate(WORDS_OF) if word in WORDS_OF[k]))
+        return len(self.kinds) - 1
+
+
+def normal_text(text: str | None) -> str:
+    """Composed, without entities and invisible signs, in lower case."""
+    t = unicodedata.normalize("NFC", text or "")
+    if "&" in t:
+        t = html.unescape(t)
+    return INVISIBLE.sub("", t).lower()
+
+
+def measure(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Features of each text (rows, see ``FEATURES``), its length in characters of tokens, the language of its function words."""
+    words, doc, seq = Words(), [], []
+    for i, text in enumerate(texts):
+        found = TOKEN.findall(normal_text(text))
+        ids = words.ids
+        seq.extend([ids[w] if w in ids else words.add(w) for w in found])
+        doc.append(len(found))
+    n = len(texts)
+    counts = np.array(doc, np.int64)
+    doc, seq = np.repeat(np.arange(n), counts), np.array(seq, np.int64)
+    if not len(seq):
+        return np.tile(NEUTRAL, (n, 1)), np.zeros(n), [""] * n
+    kinds, sizes, width = np.array(words.kinds), np.array(words.sizes, float), len(words.kinds)
+    kind, size = kinds[seq], sizes[seq]
+    index, edge = np.arange(len(seq)), np.r_[True, doc[1:] != doc[:-1]]
+    total = lambda x: np.bincount(doc, weights=x, minlength=n)
+    length = total(size)
+    share = lambda x: total(size * x) / np.maximum(length, 1)
+    content, word = kind == CONTENT, (kind != LINK) & (kind != TAG)
+    link, tag, function = kind == LINK, kind == TAG, kind == FUNCTION
+
+    # Counts of each word in its text.
+    key = doc * width + seq
+    unique, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    of, its = unique // width, unique % width
+    counted = kinds[its] == CONTENT
+    again = np.where(counted, (times - 1) * sizes[its], 0)
+    order = np.lexsort((-again, of))
+    at = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+    top = np.bincount(of[order][at < 2], weights=again[order][at < 2], minlength=n) / np.maximum(length, 1)
+    contents = total(content * 1.0)
+    p = np.where(counted, times / np.maximum(contents[of], 1), 1)
+    bits = np.bincount(of, weights=-p * np.log2(p), minlength=n)
+    entropy = np.where(contents >= 2, bits / np.log2(np.maximum(contents, 2)), 1)
+
+    # Words far from any function word; stretches without one, in which links and tags mark what stands between them.
+    since = np.maximum.accumulate(np.where(function, index, -1))
+    left = np.where(since >= np.maximum.accumulate(np.where(edge, index, 0)), index - since, 99)
+    last = np.r_[edge[1:], True]
+    until = np.minimum.accumulate(np.where(function, index, len(seq) + 99)[::-1])[::-1]
+    right = np.where(until <= np.minimum.accumulate(np.where(last, index, len(seq) + 99)[::-1])[::-1], until - index, 99)
+    bare = (np.minimum(left, right) >= 3) | (left + right >= 7)
+    run = np.cumsum(edge | function | np.r_[False, function[:-1]]) - 1
+    marked = np.bincount(run, weights=size * (link | tag)) / np.bincount(run, weights=size)
+
+    # Words said ``CHAIN`` times within few words, and all that stands between.
+    position, order = np.cumsum(word), np.lexsort((index, key))
+    k = CHAIN - 1
+    before = np.r_[np.full(k, -1), order[:-k]] if len(order) > k else np.full(len(order), -1)
+    close = (before >= 0) & (key[before] == key[order]) & (position[order] - position[before] <= NEAR * k) & content[order]
+    chained = _between(before[close], order[close], len(seq))
+
+    # Runs of words that stand in the text twice or more.
+    gram = seq.astype(np.uint64)
+    for j in range(1, PHRASE):
+        gram[:-j] = gram[:-j] * np.uint64(0x9E3779B97F4A7C15) + seq[j:].astype(np.uint64)
+    gram ^= doc.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    starts = np.flatnonzero(doc[: len(seq) - k] == doc[k:]) if len(seq) > k else np.empty(0, np.int64)
+    _, same, often = np.unique(gram[starts], return_inverse=True, return_counts=True)
+    starts = starts[often[same] >= 2]
+    phrases = _between(starts, starts + k, len(seq))
+
+    x = np.column_stack([
+        share(link), share(tag), share(np.minimum(1, 2 * marked)[run]), share(bare & content & (times[inverse] >= 2)),
+        share(chained & word), share(phrases & word), top, entropy,
+    ])
+    spoken = np.array(words.langs)[seq]
+    hits = np.column_stack([total((spoken >> i & 1) * 1.0) for i in range(len(WORDS_OF))])
+    names = [*WORDS_OF]
+    langs = [names[b] if h[b] else "" for h, b in zip(hits, hits.argmax(1))]
+    return (x * length[:, None] + NEUTRAL * PRIOR) / (length[:, None] + PRIOR), length, langs
+
+
+def _between(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the spans from ``first`` to ``last``."""
+    steps = np.bincount(first, minlength=size + 1) - np.bincount(last + 1, minlength=size + 1)
+    return np.cumsum(steps)[:size] > 0
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [describe(t) for t in b.column(2).to_pylist()]
-        lang = [given if given in WORDS_OF else found for given, (_, _, found) in zip(b.column(1).to_pylist(), out)]
-        columns = [pa.array([o[0][i] for o in out], pa.float64()) for i in range(len(FEATURES))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array([o[1] for o in out], pa.float64()), *columns], names=["key", "lang", "spam_share", *FEATURES])
-
-
-#: Fewest texts for which a language has a centre of its own; others share the pooled one.
-LEAST_TEXTS = 200
-#: Scale below which no feature's spread falls: two in a hundred characters, or as much of a rate.
-FLOOR = 0.02
-#: 0.975 and 0.999 quantiles of chi squared with eight degrees of freedom.
-TRIM, CUTOFF = 17.53, 26.12
+        texts, given, start, held = b.column(2).to_pylist(), b.column(1).to_pylist(), 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held < LOT and i + 1 < len(texts):
+                continue
+            x, length, found = measure(texts[start : i + 1])
+            lang = [g if g in WORDS_OF else f for g, f in zip(given[start : i + 1], found)]
+            columns = [b.column(0).slice(start, len(x)), pa.array(lang, pa.string()), pa.array(length), *[pa.array(c) for c in x.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "length", *FEATURES])
+            start, held = i + 1, 0
+
+
+#: Scale below which no feature's spread falls: five in a hundred characters.
+FLOOR = 0.05
+#: So many texts of the pooled fit are added to each language's own: a rare language leans on the others.
+POOLED = 200
+#: Quantiles of chi squared with eight degrees of freedom, beyond which a text is left out of the fit (0.975), and beyond
+#: which it is flagged (1 - 1e-9: one false alarm in a billion texts, were texts normal).
+TRIM, CUTOFF = 17.53, 61.4
+ROUNDS = 5
 
 
 class Fit:
     """Robust centre and inverse scatter of one language."""
 
     def __init__(self, centre: np.ndarray, scatter: np.ndarray):
-        self.centre = centre
+        self.centre, self.scatter = centre, scatter
         self.inverse = np.linalg.inv(scatter + np.eye(len(centre)) * FLOOR**2)
 
     def distance(self, x: np.ndarray) -> np.ndarray:
+        """Squared Mahalanobis distance."""
         d = x - self.centre
         return np.einsum("ij,jk,ik->i", d, self.inverse, d)
 
     def directed(self, x: np.ndarray) -> np.ndarray:
-        """Share of the squared distance that lies in spam-directed features."""
+        """The same over the deviations that point to spam only."""
         d = x - self.centre
-        part = np.maximum(d * (d @ self.inverse), 0)
-        return (part * (d * TOWARDS > 0)).sum(1) / np.maximum(part.sum(1), 1e-12)
+        return self.distance(self.centre + np.where(d * TOWARDS > 0, d, 0))
 
 
-def fit_languages(described: DataFrame, rounds: int = 3) -> dict[str, Fit]:
-    """Robust fit per language (and pooled, under the empty name) over all texts: medians, then reweighted moments.
+def fit_languages(measured: DataFrame) -> dict[str, Fit]:
+    """Robust fit per language, and pooled under the empty name, over all texts that have any token.
 
-    Aggregates only: one row a language reaches the driver, of which there are no more than known languages.
+    Starts from medians and the spread between the tenths; then moments without the texts that lie too far on spam's side,
+    in ``ROUNDS`` rounds. One row a language and partition is added up, one a language reaches the driver.
     """
-    rows = described.where(F.col("function_share").isNotNull() & (F.col("spam_share") + F.col("function_share") + F.col("word_entropy") != 2))
-    both = rows.unionByName(rows.withColumn("lang", F.lit("")))
-    medians = both.groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f) for f in FEATURES]).collect()
-    fits = {}
-    for r in medians:
-        if r.lang == "" or r.n >= LEAST_TEXTS:
-            q = np.array([r[f] for f in FEATURES], float)
-            fits[r.lang] = Fit(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
-    held = rows.sparkSession.sparkContext
-    for _ in range(rounds):
-        share = held.broadcast(fits)
-        size = len(FEATURES)
-        moments = "lang string, n double, s array<double>, p array<double>"
-
-        def sums(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
-            total: dict[str, list] = {}
+    rows, size = measured.where("length > 0"), len(FEATURES)
+    q = rows.agg(*[F.percentile_approx(f, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 1000).alias(f) for f in FEATURES]).first()
+    if q is None or q[0] is None:
+        return {}
+    q = np.array([list(q[f]) for f in FEATURES], float)
+    fits = dict.fromkeys(["", *WORDS_OF], Fit(q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 2.563) ** 2)))
+    for _ in range(ROUNDS):
+
+        def sums(batches: Iterator[pa.RecordBatch], fits=fits) -> Iterator[pa.RecordBatch]:
+            got = {k: np.zeros(1 + size + size * size) for k in fits}
             for b in batches:
                 x = np.column_stack([b.column(f).to_numpy() for f in FEATURES])
                 own = np.array(b.column("lang").to_pylist(), object)
-                for name in share.value:
+                for name, fit in fits.items():
                     part = x if name == "" else x[own == name]
-                    part = part[share.value[name].distance(part) < TRIM]
-                    t = total.setdefault(name, [0.0, np.zeros(size), np.zeros((size, size))])
-                    t[0] += len(part)
-                    t[1] += part.sum(0)
-                    t[2] += part.T @ part
-            names = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[k][0] for k in names], pa.float64()), pa.array([total[k][1].tolist() for k in names], pa.list_(pa.float64())), pa.array([total[k][2].ravel().tolist() for k in names], pa.list_(pa.float64()))], names=["lang", "n", "s", "p"])
-
-        parts = rows.select("lang", *FEATURES).mapInArrow(sums, moments)
-        added = parts.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.element_at("s", i + 1)).alias(f"s{i}") for i in range(size)], *[F.sum(F.element_at("p", i + 1)).alias(f"p{i}") for i in range(size * size)]).collect()
-        for r in added:
-            if r.n >= 20:
-                mean = np.array([r[f"s{i}"] for i in range(size)]) / r.n
-                second = np.array([r[f"p{i}"] for i in range(size * size)]).reshape(size, size) / r.n
-                fits[r.lang] = Fit(mean, second - np.outer(mean, mean))
+                    part = part[fit.directed(part) < TRIM]
+                    got[name] += np.concatenate([[len(part)], part.sum(0), (part.T @ part).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([*got]), pa.array([v.tolist() for v in got.values()])], names=["lang", "s"])
+
+        parts = rows.select("lang", *FEATURES).mapInArrow(sums, "lang string, s array<double>")
+        added = parts.groupBy("lang").agg(F.array(*[F.sum(F.element_at("s", i + 1)) for i in range(1 + size + size * size)]).alias("s")).collect()
+        moments = {r.lang: np.array(r.s) for r in added}
+        pooled = moments[""]
+        for name, m in moments.items():
+            m = m + pooled * (POOLED / max(pooled[0], 1.0))
+            mean = m[1 : 1 + size] / m[0]
+            fits = fits | {name: Fit(mean, m[1 + size :].reshape(size, size) / m[0] - np.outer(mean, mean))}
     return fits
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(key, lang, distance, directed, spam_share, flagged, ...features)`` of every text.
+    """``(key, lang, length, distance, directed, flagged, ...features)`` of every text.
 
-    ``flagged``: a robust outlier of its language (squared Mahalanobis distance over the 0.999 quantile of chi squared) by
-    more than half in spam-directed features, of whose characters more than half are spam. A null, blank or unknown
-    language is taken from the text's function words. Null, empty and blank texts aren't spam and don't enter the fit.
-    Whole texts count, in parts if very long; repeated rows each have their row; extra columns are ignored; an empty table
-    gives an empty result.
+    ``flagged``: the squared Mahalanobis distance of the text from its language's robust centre, over deviations in the
+    direction of spam only, exceeds ``CUTOFF``. A null, blank or unknown language is taken from the text's function words,
+    one without any belongs to the pooled fit. Null, empty and blank texts aren't flagged and don't enter the fit. Texts
+    are measured whole; repeated rows each have their row; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(key).alias("key"), norm_key(lang).alias("lang"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    shape = f"key {kind}, lang string, spam_share double, " + ", ".join(f"{f} double" for f in FEATURES)
-    described = materialize(rows.mapInArrow(_describe_batches, shape), "described")
-    fits = docs.sparkSession.sparkContext.broadcast(fit_languages(described))
+    kind, features = rows.schema["key"].dataType.simpleString(), ", ".join(f"{f} double" for f in FEATURES)
+    measured = materialize(rows.mapInArrow(_measured, f"key {kind}, lang string, length double, {features}"), "measured")
+    fits = fit_languages(measured)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([b.column(f).to_numpy() for f in FEATURES]) if b.num_rows else np.empty((0, len(FEATURES)))
-            own = np.array(b.column("lang").to_pylist(), object)
+            x = np.column_stack([b.column(f).to_numpy() for f in FEATURES])
+            own, some = np.array(b.column("lang").to_pylist(), object), b.column("length").to_numpy() > 0
             distance, directed = np.zeros(len(x)), np.zeros(len(x))
-            for name in set(own.tolist()):
-                fit = fits.value.get(name) or fits.value.get("")
-                if fit:
-                    at = own == name
-                    distance[at], directed[at] = fit.distance(x[at]), fit.directed(x[at])
-            flagged = (distance > CUTOFF) & (directed > 0.5) & (b.column("spam_share").to_numpy() > 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("lang"), pa.array(distance), pa.array(directed), b.column("spam_share"), pa.array(flagged), *[b.column(f) for f in FEATURES]], names=["key", "lang", "distance", "directed", "spam_share", "flagged", *FEATURES])
-
-    features = ", ".join(f"{f} double" for f in FEATURES)
-    return described.mapInArrow(score, f"key {kind}, lang string, distance double, directed double, spam_share double, flagged boolean, {features}").withColumnRenamed("key", key)
+            for name, fit in fits.items():
+                at = (own == name) & some
+                distance[at], directed[at] = fit.distance(x[at]), fit.directed(x[at])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(distance), pa.array(directed), pa.array(directed > CUTOFF), *b.columns[3:]], names=["key", "lang", "length", "distance", "directed", "flagged", *FEATURES])
+
+    return measured.mapInArrow(score, f"key {kind}, lang string, length double, distance double, directed double, flagged boolean, {features}").withColumnRenamed("key", key)
