@@ -43,6 +43,51 @@ def test_consensus_recovers_levels(spark):
     assert raters["r2"].slope < -0.5 and raters["desk"].shift > 0.5
 
 
+def long_tail(seed=1, items=400, tail=1500):
+    """Six raters with many labels, and a tail of raters with four each, of whom most score at random."""
+    import datetime as dt
+
+    rng = np.random.default_rng(seed)
+    levels, t0, rows = rng.integers(1, 6, items), dt.datetime(2026, 1, 1), []
+    for i, k in enumerate(levels):
+        for r in rng.choice(6, 3, replace=False):
+            s = int(k) if rng.random() < 0.75 else int(np.clip(k + rng.choice([-1, 1]), 1, 5))
+            rows.append(("human", f"i{i:03}", "solo", s, None, f"main{r}", t0, t0, 0))
+    for r in range(tail):
+        for i in rng.choice(items, 4, replace=False):
+            s = int(rng.integers(1, 6)) if r % 4 else int(levels[i])
+            rows.append(("human", f"i{i:03}", "solo", s, None, f"tail{r:03}", t0, t0, 0))
+    return levels, rows
+
+
+def test_the_bound_keeps_the_long_tail_down(spark):
+    levels, rows = long_tail()
+    df = spark.createDataFrame(rows, LABEL)
+    score = lambda out: np.mean([{r.image_id: r.score for r in out}[f"i{i:03}"] == k for i, k in enumerate(levels)])
+    bounded, plain = (score(consensus.consensus(df, bounded=b).collect()) for b in (True, False))
+    assert bounded > 0.92 and bounded > plain + 0.05
+    weights = {r.rater: r.weight for r in consensus.rater_reliability(df).collect()}
+    mean = lambda kind: np.mean([w for r, w in weights.items() if r.startswith(kind)])
+    assert mean("tail") < 0.5 * mean("main")
+
+
+@pytest.mark.parametrize("how", [{"hot": 6}, {"most_raters": 3}])
+def test_large_items_and_many_raters_give_the_same(spark, how):
+    _, rows = generated(items=120)
+    df = spark.createDataFrame(rows, LABEL).where("image_id <> 'i003' or rater <> 'desk'")
+    want, got = (sorted((r.image_id, r.score, round(r.confidence, 6), r.stable, r.raters, r.labels, r.agreement) for r in consensus.consensus(df, **h).collect()) for h in ({}, how))
+    assert got == want
+    want, got = (sorted((r.rater, r.n, round(r.weight, 6), round(r.shift, 6)) for r in consensus.rater_reliability(df, **h).collect()) for h in ({}, how))
+    assert got == want
+
+
+def test_rounds_that_end_early_are_reported(spark):
+    levels, rows = generated(items=60)
+    with pytest.warns(UserWarning, match="changed their level"):
+        out = consensus.consensus(spark.createDataFrame(rows, LABEL), rounds=1).collect()
+    assert not all(r.stable for r in out) and all(r.stable for r in consensus.consensus(spark.createDataFrame(rows, LABEL)).collect())
+
+
 def test_consensus_of_nothing(spark):
     df = spark.createDataFrame([], LABEL)
     assert consensus.consensus(df).count() == 0
