@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +21,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def norm_key(col: Column | str) -> Column:
     """The one spelling of a key: outer white space gone, inner runs single, lower case, blank as null."""
     c = F.col(col) if isinstance(col, str) else col
-    squeezed = F.regexp_replace(c, f"{WHITE}+", " ")
-    return F.nullif(F.lower(F.trim(squeezed)), F.lit(""))
+    squeezed = F.trim(F.regexp_replace(c, f"{WHITE}+", " "))
+    # A key of visible ASCII signs alone, as most are, has no white space to look for.
+    return F.nullif(F.lower(F.when(c.rlike("[^!-~]"), squeezed).otherwise(c)), F.lit(""))
 
 
 def shared_dir(spark: SparkSession) -> str:
