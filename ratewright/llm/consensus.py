@@ -55,12 +55,11 @@ def chi_squared_quantile(q: float, degrees: np.ndarray) -> np.ndarray:
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
-    """``(image_id, axis, rater, score, labelled_at)``: usable labels, each as often as it was delivered."""
-    return (
-        labels.select(norm_key("image_id").alias("image_id"), norm_key("axis").alias("axis"), norm_key("rater").alias("rater"), F.col("score").cast("int").alias("score"), "labelled_at")
-        .where("image_id is not null and axis is not null and rater is not null")
-        .where(F.col("score").between(1, LEVELS))
-    )
+    """``(image_id, axis, rater, score, labelled_at)``: usable labels, each as often as it was delivered, in the shared folder."""
+    keys = [norm_key(c).alias(c) for c in ("image_id", "axis", "rater")]
+    # Keys are filtered once they are written: a filter before would be evaluated with the keys a second time.
+    usable = labels.select("image_id", "axis", "rater", F.col("score").cast("int").alias("score"), "labelled_at").where(F.col("score").between(1, LEVELS))
+    return materialize(usable.select(*keys, "score", "labelled_at"), "labels")
 
 
 def _line(n: np.ndarray, s: np.ndarray, a0: np.ndarray, b0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +144,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         names = t.take(pa.array(starts))
-        counts = np.diff(np.r_[starts, t.num_rows])
-        large = t.column("large")[0].as_py() if t.num_rows else -1
-        rk, s = (np.asarray(t.column(c)) for c in ("rk", "score"))
-        listed = [counts.astype(np.int32).tolist(), rk.tolist(), (s - 1).tolist(), names.column("image_id").to_pylist(), names.column("axis").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([large], pa.int32()), *[pa.array([x], k) for x, k in zip(listed, [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int8())] + [pa.list_(pa.string())] * 2)]], names=fields)
+        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        counts = np.diff(np.r_[starts, t.num_rows]).astype(np.int32)
+        s = (np.asarray(t.column("score")) - 1).astype(np.int8)
+        lists = [pa.array(counts), t.column("rk").combine_chunks(), pa.array(s), names.column("image_id").combine_chunks(), names.column("axis").combine_chunks()]
+        return pa.RecordBatch.from_arrays([t.column("large")[:1].combine_chunks(), *map(whole, lists)], names=fields)
 
     held: pa.Table | None = None
     for b in batches:
@@ -175,8 +174,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _starts(t: pa.Table) -> np.ndarray:
     """Row numbers at which an item begins."""
-    i, a = (t.column(c).combine_chunks().dictionary_encode() for c in ("image_id", "axis"))
-    i, a = (np.asarray((x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).indices) for x in (i, a))
+    i, a = (np.asarray(t.column(c).combine_chunks().dictionary_encode().indices) for c in ("image_id", "axis"))
     return np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (a[1:] != a[:-1])])
 
 
@@ -348,7 +346,8 @@ def discover(labels: DataFrame, rounds: int = ROUNDS, most_raters: int = MOST_RA
     same rounds run by shuffle joins.
     """
     spark = labels.sparkSession
-    clean = materialize(clean_labels(labels), "labels")
+    held = clean_labels(labels)
+    clean = held.where("image_id is not null and axis is not null and rater is not null")
     by_rater = clean.distinct().groupBy("rater", "axis").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
     raters = by_rater.limit(most_raters + 1).toPandas()
     if len(raters) > most_raters:
@@ -362,7 +361,7 @@ def discover(labels: DataFrame, rounds: int = ROUNDS, most_raters: int = MOST_RA
     large = _summaries(clean.distinct().join(F.broadcast(hottest), ["image_id", "axis"], "left_semi")).toPandas().sort_values(["image_id", "axis"]).reset_index(drop=True)
     large["large"] = np.arange(len(large), dtype=np.int32)
     items, described = Blocks(clean, raters, large).discover(rounds, bounded)
-    release(clean)
+    release(held)
     described = described.astype({"n": "int64"})
     return items, spark.createDataFrame(described, "rater string, axis string, n long, weight double, error_variance double, shift double, slope double, reliability double")
 
