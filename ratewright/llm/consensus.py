@@ -214,6 +214,24 @@ class Blocks:
         self.table = materialize(packed, "blocks")
         self.rounds = self.table.select("large", "counts", "rk", "s")
 
+    def means(self) -> tuple[np.ndarray, float]:
+        """Each rater's mean score, pulled to the middle, and the mean of all scores, both from 0."""
+        raters = len(self.raters)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, t = np.zeros(raters), np.zeros(raters)
+            for _, _, rk, s, _ in _each(batches):
+                n += np.bincount(rk, minlength=raters)
+                t += np.bincount(rk, s, raters)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(t[some])], names=["rk", "n", "t"])
+
+        got = self.rounds.mapInArrow(sums, "rk int, n double, t double").groupBy("rk").agg(F.sum("n"), F.sum("t")).toPandas().to_numpy()
+        n, t = np.zeros(raters), np.zeros(raters)
+        at = got[:, 0].astype(int)
+        n[at], t[at] = got[:, 1], got[:, 2]
+        return (t + 3 * MIDDLE) / (n + 3), float(t.sum() / n.sum()) if n.sum() else MIDDLE
+
     def _large(self, state: State) -> State:
         """The state with the sums of items that are spread over blocks: one row each."""
         if not len(self.large):
@@ -280,7 +298,8 @@ class Blocks:
         r = self.raters
         rh = pd.factorize(r["rater"])[0]
         lv = np.arange(LEVELS, dtype=float)
-        state, before = self.spread(State(((r["total"] - r["n"] + 3 * MIDDLE) / (r["n"] + 3)).to_numpy(float), mean=float((r["total"].sum() / max(r["n"].sum(), 1) or MIDDLE + 1) - 1))), None
+        own, mean = self.means()
+        state, before = self.spread(State(own, mean=mean)), None
         got: dict[str, np.ndarray] = {}
         for n in range(rounds + 1):
             cells, shares, moved = self.count(state, before)
@@ -348,8 +367,7 @@ def discover(labels: DataFrame, rounds: int = ROUNDS, most_raters: int = MOST_RA
     spark = labels.sparkSession
     held = clean_labels(labels)
     clean = held.where("image_id is not null and axis is not null and rater is not null")
-    by_rater = clean.distinct().groupBy("rater", "axis").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
-    raters = by_rater.limit(most_raters + 1).toPandas()
+    raters = clean.select("rater", "axis").distinct().limit(most_raters + 1).toPandas()
     if len(raters) > most_raters:
         return _discover_shuffled(clean.distinct(), rounds, bounded)
     raters = raters.sort_values(["rater", "axis"]).reset_index(drop=True)
