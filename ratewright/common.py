@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,11 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+#: Spark's setting by which a query deletes its shuffle files when it ends, where this version has it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind; for steps whose result is written and read again."""
+    try:
+        before = spark.conf.get(CLEANUP)
+    except Exception:  # noqa: BLE001  (unknown to this version)
+        yield
+        return
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage: write to the shared folder and read back. Lost executors then cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ratewright-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._ratewright_path = path
