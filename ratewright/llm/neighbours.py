@@ -13,16 +13,14 @@ Vectors with the same content travel once; their rows are expanded again at the
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,8 +39,8 @@ DENSE = 64
 CELL = 16_384
 #: Most vectors the forest's splits are fitted on.
 SAMPLE = 8192
-#: Levels with a split of their own in every node; below, a level's nodes share one.
-NODE_LEVELS = 7
+#: Levels with a split of their own in every node that holds ``NODE_LEAST`` of the sample; below, a level's nodes share one.
+NODE_LEVELS, NODE_LEAST = 12, 32
 FLUSH = 20_000
 
 
@@ -100,10 +98,11 @@ def fit_forest(sample: np.ndarray, rows: int, similarity: float, trees: int = TR
         if level < NODE_LEVELS:
             split = np.repeat(whole[:, None], 1 << level, axis=1)
             for t in range(trees):
-                for node in range(1 << level):
-                    own = p[code[:, t] == node, t, level]
-                    if len(own) >= 32:
-                        split[t, node] = np.median(own)
+                own = p[np.lexsort((p[:, t, level], code[:, t])), t, level]
+                size = np.bincount(code[:, t], minlength=1 << level)
+                start = np.cumsum(size) - size
+                node = np.flatnonzero(size >= NODE_LEAST)
+                split[t, node] = (own[start[node] + (size[node] - 1) // 2] + own[start[node] + size[node] // 2]) / 2
         else:
             split = whole[:, None]
         forest.splits.append(split.astype(np.float32))
@@ -189,19 +188,10 @@ def _mixed(ids: np.ndarray, seed: int) -> np.ndarray:
     return (z ^ (z >> np.uint64(31))).astype(np.int64)
 
 
-def _leaves(code: np.ndarray, bits: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Row numbers of each leaf. One that is too full is split further by its sketch bits, in the end by order."""
+def _leaves(code: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each leaf."""
     order = np.argsort(code, kind="stable")
-    stack = [(part, 0) for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1)]
-    while stack:
-        part, bit = stack.pop()
-        if len(part) <= most:
-            yield part
-        elif bit >= bits.shape[1] * 8:
-            yield from np.array_split(part, -(-len(part) // most))
-        else:
-            side = bits[part, bit >> 3] >> (7 - (bit & 7)) & 1 > 0
-            stack += [(x, bit + 1) for x in (part[side], part[~side]) if len(x)]
+    return np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
 
 
 def leaf_search(bits: int, reach: int, places: int, most: int):
@@ -231,7 +221,7 @@ def leaf_search(bits: int, reach: int, places: int, most: int):
         best = [np.full(len(known), none) for _ in range(places)]
         pairs, members, leaves = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         group = int(key[0].as_py())
-        for part in _leaves(code >> 1, sketch, len(code)):
+        for part in _leaves(code >> 1):
             # Copies of a vector from other map tasks stand for one; a home row serves as data and as query.
             own = part[home[part]]
             if not len(own):
@@ -373,25 +363,15 @@ def _fine(name: str, width: int) -> Column:
     return v.isNotNull() & (F.size(v) == width) & (F.size(F.array_compact(v)) == width) & (F.array_max(v) < inf) & (F.array_min(v) > -inf) & ((F.array_max(v) > 0) | (F.array_min(v) < 0))
 
 
-def _sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so when the driver collects its garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def similar_contents(rows: DataFrame, width: int, k: int, similarity: float, trees: int = TREES, extra: int = EXTRA, places: int = PLACES) -> DataFrame:
     """``(id, others)`` of distinct contents: up to ``k`` others, as structs ``(far, other)``, far being minus the similarity."""
     spark = rows.sparkSession
-    count = rows.count()
-    share = max(1, count // SAMPLE)
-    # A content hash picks the sample: bounded, and the same on every run.
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(share)) == 0).select("id", "vector").limit(2 * SAMPLE).toArrow()
-    sample = _matrix(picked.column("vector"))
-    if not len(sample):
-        sample = np.ones((1, width), np.float32)
-    sample = sample[np.argsort(np.asarray(picked.column("id")), kind="stable")[:SAMPLE]] if picked.num_rows else sample
+    count = rows.select("id").distinct().count()
+    # A content hash picks the sample from distinct contents: bounded, and the same on every run.
+    order = F.xxhash64("id", F.lit(1))
+    some = rows.where(F.pmod(order, F.lit(max(1, count // SAMPLE))) == 0).groupBy("id").agg(F.any_value("vector").alias("vector"))
+    picked = some.orderBy(order, "id").limit(SAMPLE).toArrow()
+    sample = _matrix(picked.column("vector")) if picked.num_rows else np.ones((1, width), np.float32)
     forest = fit_forest(sample, count, similarity, trees)
     labels = ", ".join(f"l{r} long" for r in range(places))
     blobs = rows.select("id", "vector").mapInArrow(index_blobs(forest, extra), "g long, data binary")
@@ -401,17 +381,13 @@ def similar_contents(rows: DataFrame, width: int, k: int, similarity: float, tre
     hosts = materialize(_cells(whole, CELL), "cells")
     release(whole)
     release(meet)
-    del blobs, found
-    _sweep(spark)
     data = rows.select("id", "vector").mapInArrow(pack_vectors, "id long, data binary")
     placed = hosts.join(data, "id").select("place", "id", "data")
     width_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     compared = placed.repartition(width_parts, "place").sortWithinPartitions("place", "id").mapInArrow(place_search(width, k, similarity, PLACE_MOST), "id long, other long, similarity double")
     best = compared.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "other"))), 1, k).alias("others"))
     out = materialize(best, "near")
-    del data, placed, compared, best
     release(hosts)
-    _sweep(spark)
     return out
 
 

@@ -121,6 +121,22 @@ def clustered(rng, centres, each, width, noise):
     return [row + rng.standard_normal(width) * noise for row in c for _ in range(each)]
 
 
+@pytest.mark.parametrize("centres,each", [(1500, 6), (3, 3000), (1, 6000)])
+def test_recall_of_dense_clusters(spark, centres, each):
+    """A cluster of distinct vectors may hold a third of all rows, or all of them."""
+    x = np.array(clustered(np.random.default_rng(1), centres, each, 64, 0.3), np.float32)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for lo in range(0, len(y), 1000):
+        s = y[lo : lo + 1000] @ y.T
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
+        near = np.argpartition(-s, 5, axis=1)[:, :5]
+        want |= {(min(lo + i, j), max(lo + i, j)) for i, row in enumerate(near.tolist()) for j in row if s[i, j] >= 0.8}
+    df = spark.createDataFrame([(f"{i:06}", v) for i, v in enumerate(x.tolist())], "sha256 string, clip_embedding array<float>")
+    got = {(int(r.a), int(r.b)) for r in neighbours.similar_pairs(df, width=64).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 @pytest.mark.parametrize("rows,least", [(60, 1.0), (3000, 0.95)])
 def test_recall_against_brute_force(spark, rows, least):
     rng = np.random.default_rng(rows)
