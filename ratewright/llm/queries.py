@@ -121,6 +121,28 @@ fits as (select t.target_id, t.share, t.sample_rate, t.min_rows, count(distinct
     and ({KEY.format('t.query')} is null or {KEY.format('t.query')} = q) and ({KEY.format('t.cohort')} is null or {KEY.format('t.cohort')} = c)
   group by all)"""
 
+def _passed(before: str, after: str, family: str) -> str:
+    """What the targets of a family lack passes to those with spare stock, in proportion to it."""
+    return f"""
+{after}_f as (select *, sum(lacks) over w as unmet, sum(spare) over w as room from {before} window w as (partition by target_set, {family})),
+{after}_p as (select *, least(unmet, room) as amount, least(unmet, room) * spare / nullif(room, 0) as part from {after}_f),
+{after}_r as (select *, amount - sum(coalesce(floor(part), 0)) over (partition by target_set, {family}) as rest,
+  row_number() over (partition by target_set, {family} order by part - floor(part) desc nulls last, target_id) as r,
+  sum(lacks) over (partition by target_set, {family} order by target_id) - lacks as earlier from {after}_p),
+{after}_m as (select *, coalesce(floor(part), 0)::bigint + case when r <= rest and floor(part) < spare then 1 else 0 end as more from {after}_r),
+{after} as (select target_id, target_set, v, q, need, n, wanted, given + more as given, spare - more as spare, lacks - greatest(0, least(lacks, amount - earlier)) as lacks from {after}_m)"""
+
+
+#: The targets of a set are disjoint in the tables, so their stocks are their own.
+_P5_REPORT = f"""{_P5},
+wanted as (select fits.target_id, coalesce(t.target_set, '') as target_set, coalesce({KEY.format('t.queryvariant')}, '') as v, coalesce({KEY.format('t.query')}, '') as q,
+  greatest(fits.share * fits.sample_rate * size.n, fits.min_rows)::double as need, fits.n, ceil(greatest(fits.share * fits.sample_rate * size.n, fits.min_rows) - 1e-9)::bigint as wanted
+  from fits join quota_target t using (target_id), size),
+l0 as (select *, least(wanted, n) as given, n - least(wanted, n) as spare, wanted - least(wanted, n) as lacks from wanted),
+{_passed("l0", "l1", "v, q")},
+{_passed("l1", "l2", "v")},
+{_passed("l2", "l3", "1")}"""
+
 _P6 = f"""
 img as (select distinct {KEY.format('image_id')} as i, {KEY.format('creator_group')} as c, {KEY.format('source_group')} as s, {KEY.format('split_group')} as g,
         {KEY.format('dataset_role')} as r from dataset_image),
@@ -142,6 +164,7 @@ SQL: dict[str, str] = {
     "p3_found": f"with recursive {_P3_LINKS} select image_id, group_id from grp",
     "p3_groups": f"with recursive {_P3_LINKS} select i as image_id, coalesce(group_id, i) as group_id from ids left join grp on i = image_id where i is not null",
     "p5_found": f"with {_P5} select target_id from fits, size where fits.n < greatest(share * sample_rate * size.n, min_rows)",
+    "p5_report": f"with {_P5_REPORT} select target_id, target_set, need, n as available, wanted, given as allocated, n >= need as possible, given >= need as met from l3",
     "p6_found": f"with recursive {_P6} select distinct i as image_id, set_id from sets where set_id in (select set_id from sets join img using (i) group by set_id having count(distinct r) > 1)",
     "p7_found": f"with {_P7} select distinct least(t, e) as image_id_a, greatest(t, e) as image_id_b from pairs",
 }

@@ -1,6 +1,7 @@
 """Quota samples and container packing: invariants and hand cases."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -51,13 +52,58 @@ def test_sample_draws_what_was_allocated(tables):
     assert len({(r.target_set, r.sha256) for r in sample}) == len(sample)
     assert all(r.sha256 in fits[r.target_id] for r in sample)
     assert sorted(sample) == sorted(quotas.quota_sample(*[t.repartition(5) for t in tables]).collect())
+    drawn = Counter(r.target_id for r in sample)
+    assert {r.target_id: r.allocated for r in quotas.quota_report(*tables).collect()} == {i: drawn[i] for i in fits}
+
+
+def test_one_stock(spark):
+    """A photo that fits two targets serves one of them, in the report as in the sample."""
+    man = spark.createDataFrame([(f"s{n}", "good", "q1" if n < 20 else "q2", "") for n in range(100)], M)
+    img = spark.createDataFrame([(f"i{n}", f"s{n}", "a") for n in range(100)], I)
+    tar = spark.createDataFrame([(1, "x", "good", None, None, 0.9, 1.0, 0), (2, "x", "good", "q1", None, 0.15, 1.0, 0)], T)
+    rows = {r.target_id: r for r in quotas.quota_report(man, img, tar).collect()}
+    assert [(rows[i].allocated, rows[i].possible, rows[i].met) for i in (1, 2)] == [(85, True, False), (15, True, True)]
+    drawn = quotas.quota_sample(man, img, tar).collect()
+    assert Counter(r.target_id for r in drawn) == {1: 85, 2: 15} and len({r.sha256 for r in drawn}) == 100
+    wide = spark.createDataFrame([(1, "x", "good", None, None, 0.85, 1.0, 0), (2, "x", "good", "q1", None, 0.15, 1.0, 0)], T)
+    assert all(r.met for r in quotas.quota_report(man, img, wide).collect())
+
+
+def _t(i, v, share, query=None, cohort=None):
+    return {"target_id": i, "queryvariant": v, "query": query, "cohort": cohort, "share": share, "sample_rate": 1.0, "min_rows": 0}
+
+
+def _sums(plan):
+    out = Counter()
+    for (i, _), n in plan.given.items():
+        out[i] += n
+    return dict(out)
 
 
 def test_unmet_goes_to_siblings_then_cousins():
-    t = lambda i, v, share: {"target_id": i, "queryvariant": v, "share": share, "sample_rate": 1.0, "min_rows": 0}
-    plan = quotas.allocate([t(1, "good", 0.4), t(2, "good", 0.1), t(3, "bad", 0.5)], 100, {1: 10, 2: 20, 3: 90})
-    assert plan == {1: (40, 10), 2: (10, 20), 3: (50, 70)}
-    assert quotas.allocate([], 0, {}) == {}
+    plan = quotas.allocate([_t(1, "good", 0.4), _t(2, "good", 0.1), _t(3, "bad", 0.5)], 100, {(1,): 10, (2,): 20, (3,): 90})
+    assert plan.wanted == {1: 40, 2: 10, 3: 50} and _sums(plan) == {1: 10, 2: 20, 3: 70}
+    near = quotas.allocate([_t(1, "good", 0.4, "q", "a"), _t(2, "good", 0.1, "q", "b"), _t(3, "good", 0.5, "r")], 100, {(1,): 10, (2,): 90, (3,): 90})
+    assert _sums(near) == {1: 10, 2: 40, 3: 50}
+    assert quotas.allocate([], 0, {}).given == {}
+
+
+def test_rerouting_reaches_the_most_that_can_be_given():
+    """Against the largest flow, found by cuts over all sets of targets."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        k = int(rng.integers(1, 5))
+        stock = {leaf: int(rng.integers(0, 30)) for leaf in {tuple(sorted(rng.choice(np.arange(1, k + 1), rng.integers(1, k + 1), replace=False).tolist())) for _ in range(4)}}
+        targets = [_t(i, "good", float(rng.integers(0, 60)) / 100) for i in range(1, k + 1)]
+        plan = quotas.allocate(targets, 100, stock)
+        used = Counter()
+        for (i, leaf), n in plan.given.items():
+            assert i in leaf and n > 0
+            used[leaf] += n
+        assert all(used[x] <= n for x, n in stock.items())
+        most = min(sum(w for i, w in plan.wanted.items() if i not in c) + sum(n for x, n in stock.items() if set(x) & c) for c in (set(c) for r in range(k + 1) for c in combinations(range(1, k + 1), r)))
+        got = _sums(plan)
+        assert sum(min(got.get(i, 0), w) for i, w in plan.wanted.items()) == most
 
 
 def test_empty_tables(spark, tables):
