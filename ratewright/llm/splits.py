@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ratewright.common import attach, materialize, norm_key
+from ratewright.common import attach, materialize, norm_key, release
 from ratewright.llm.linking import hash_to_min
 
 RELATIONS = ["creator_group", "source_group", "split_group"]
@@ -20,16 +20,21 @@ BINS = 100
 def related_sets(images: DataFrame, relations: list[str] = RELATIONS) -> DataFrame:
     """``(image_id, set_id)`` of every image: images that share any of ``relations`` are in one set, also through others.
 
-    Images and group keys are the two kinds of vertices of one graph, so a key shared by a third of all images is never
-    collected. Image vertices sort before key vertices, hence ``set_id`` is the set's smallest image_id. Keys compare
+    Each key is collapsed to its least image first: every other image that holds it is linked to that one. A key shared by a
+    third of all images is met by broadcast, never collected. ``set_id`` is the set's smallest image_id. Keys compare
     without case and white space, each column with itself only; blank and null keys relate nothing. Repeated rows count
     once; rows without an image_id are left out; extra columns are ignored; an empty table gives an empty result.
     """
-    ids = images.select(norm_key("image_id").alias("i"), *[norm_key(r).alias(r) for r in relations]).where("i is not null")
-    edges = ids.select(F.concat(F.lit("0"), "i").alias("a"), F.explode(F.array(*[F.concat(F.lit(f"1{n}:"), r) for n, r in enumerate(relations)])).alias("b")).where("b is not null")
-    roots = hash_to_min(edges).where(F.col("vertex").startswith("0")).select(F.substr("vertex", F.lit(2)).alias("image_id"), F.substr("root", F.lit(2)).alias("set_id"))
-    alone = ids.groupBy("i").agg(F.max(F.coalesce(*relations).isNotNull()).alias("linked")).where("not linked").select(F.col("i").alias("image_id"), F.col("i").alias("set_id"))
-    return roots.unionByName(alone)
+    held = materialize(images.select(norm_key("image_id").alias("i"), *[norm_key(r).alias(r) for r in relations]), "relations")
+    ids = held.where("i is not null")
+    keys = ids.select("i", F.posexplode(F.array(*[F.col(r) for r in relations])).alias("p", "k")).where("k is not null")
+    hubs = materialize(keys.groupBy("p", "k").agg(F.min("i").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    total = int(hubs.agg(F.sum("n")).first()[0] or 0)
+    edges = attach(keys, hubs, ["p", "k"], "n", total).where("i <> hub").select(F.col("i").alias("a"), F.col("hub").alias("b"))
+    roots = hash_to_min(edges)
+    release(hubs)
+    every = ids.select(F.col("i").alias("image_id")).distinct()
+    return every.join(roots.withColumnRenamed("vertex", "image_id"), "image_id", "left").select("image_id", F.coalesce("root", "image_id").alias("set_id"))
 
 
 def parted_sets(images: DataFrame, relations: list[str] = RELATIONS) -> DataFrame:
