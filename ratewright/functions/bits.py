@@ -1,43 +1,40 @@
-"""Blocks of 64-bit codes: keys by which codes within a Hamming radius meet."""
+"""Keys of 64-bit codes by which codes within a Hamming radius meet."""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def block_plan(radius: int, blocks: int) -> tuple[list[tuple[int, int]], int]:
-    """Cuts 64 bits into ``blocks`` pieces ``(shift, width)``; some piece then differs in at most ``radius // blocks`` bits."""
-    if not 2 <= blocks <= 64 or radius < 0:
-        raise ValueError("blocks must be from 2 to 64 and radius not negative")
+def block_masks(radius: int, agree: int) -> list[int]:
+    """Masks of ``agree`` of ``radius + agree`` blocks of the 64 bits: codes within ``radius`` agree under one at least."""
+    blocks = radius + agree
+    if radius < 0 or agree < 1 or blocks > 64:
+        raise ValueError("radius must not be negative, agree positive, and both at most 64 together")
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])], radius // blocks
+    parts = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
+    signed = [sum(c) for c in combinations(parts, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in signed]
 
 
-def flip_masks(width: int, flips: int) -> list[int]:
-    """All masks of up to ``flips`` set bits, the empty one first."""
-    out, ring = [0], [0]
-    for _ in range(flips):
-        ring = sorted({m | 1 << i for m in ring for i in range(width) if not m >> i & 1})
-        out += ring
-    return out
+def best_agree(one: int, other: int, radius: int, most: int = 1000) -> int:
+    """The number of agreeing blocks with the least keys and candidates for so many codes on each side.
 
+    Few blocks give few keys and many candidates. With more codes more blocks pay, so the work grows little faster than
+    the codes do; no plan has over ``most`` keys a code.
+    """
 
-def block_keys(code: Column, radius: int, blocks: int, probe: bool) -> Column:
-    """Keys of a code: one for each block, or with all bit flips a block may have if ``probe``.
+    def work(agree: int) -> float:
+        keys, bits = comb(radius + agree, agree), 64 * agree / (radius + agree)
+        return keys * (one + other) + one * other * keys / 2**bits
 
-    Two codes within ``radius`` share a key if one side probes: that is exact, and with 4 blocks and a radius of 6 leaves a
-    960th of all pairs to verify. More blocks need fewer keys, fewer blocks leave fewer candidates.
-    """
-    pieces, flips = block_plan(radius, blocks)
-    base = F.lit(blocks).cast("bigint")
-    out = []
-    for n, (shift, width) in enumerate(pieces):
-        piece = F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        masks = F.lit(flip_masks(width, flips if probe else 0)).cast("array<bigint>")
-        out.append(_flipped(masks, piece, base, n))
-    return F.flatten(F.array(*out))
-
-
-def _flipped(masks: Column, piece: Column, base: Column, n: int) -> Column:
-    return F.transform(masks, lambda m: piece.bitwiseXOR(m) * base + F.lit(n))
+    return min((a for a in range(1, 65 - radius) if comb(radius + a, a) <= max(most, radius + 1)), key=work)
+
+
+def block_keys(code: Column, radius: int, agree: int) -> Column:
+    """One key for each choice of ``agree`` blocks. Codes within ``radius`` share one at least: that is exact."""
+    masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(radius, agree)])
+    return F.transform(masks, lambda m: F.xxhash64(code.bitwiseAND(m), m))

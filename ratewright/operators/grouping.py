@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.common import materialize, release
-from ratewright.functions.bits import block_keys
+from ratewright.functions.bits import best_agree, block_keys
 from ratewright.functions.numeric import hamming64
 
 #: Credits that name nobody (fixed values); the strict form needs a word boundary after the phrase.
@@ -19,12 +19,21 @@ def hash_code(hex16: Column) -> Column:
     return F.when(h.rlike(r"^[0-9a-f]{16}\z"), F.conv(h, 16, -10).cast("bigint"))
 
 
-def near_pairs(codes: DataFrame, radius: int = 6, blocks: int = 4) -> DataFrame:
-    """Pairs ``(code_a, code_b)``, the smaller first, of distinct codes within ``radius`` bits, by ``block_keys``."""
-    one = codes.where("code is not null").select("code").distinct()
-    a = one.select(F.col("code").alias("code_a"), F.explode(block_keys(F.col("code"), radius, blocks, False)).alias("k"))
-    b = one.select(F.col("code").alias("code_b"), F.explode(block_keys(F.col("code"), radius, blocks, True)).alias("k"))
-    return a.join(b, "k").where((F.col("code_a") < F.col("code_b")) & (hamming64(F.col("code_a"), F.col("code_b")) <= radius)).select("code_a", "code_b").distinct()
+def near_codes(one: DataFrame, other: DataFrame, radius: int = 6, agree: int | None = None) -> DataFrame:
+    """Pairs ``(code_a, code_b)`` of the distinct codes (column ``code``) of two tables within ``radius`` bits, by block keys.
+
+    ``agree`` blocks make a key; left out, it is chosen by the number of codes on each side. Codes that share a common key
+    are compared by a skew-aware join. Null codes meet none.
+    """
+    a, b = (materialize(x.where("code is not null").select("code").distinct(), "codes") for x in (one, other))
+    agree = agree or best_agree(a.count(), b.count(), radius)
+    keyed = lambda x, name: x.select(F.col("code").alias(name), F.explode(block_keys(F.col("code"), radius, agree)).alias("k"))
+    return keyed(a, "code_a").join(keyed(b, "code_b"), "k").where(hamming64(F.col("code_a"), F.col("code_b")) <= radius).select("code_a", "code_b").distinct()
+
+
+def near_pairs(codes: DataFrame, radius: int = 6, agree: int | None = None) -> DataFrame:
+    """Pairs ``(code_a, code_b)``, the smaller first, of distinct codes within ``radius`` bits; see ``near_codes``."""
+    return near_codes(codes, codes, radius, agree).where("code_a < code_b")
 
 
 def hexed(code: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ratewright import common
+from ratewright.functions import bits
 from ratewright.functions import numeric as N
 from ratewright.functions import text as T
 from ratewright.operators import agreement as A
@@ -283,12 +284,19 @@ def test_components_and_append(spark):
     assert {r.key: r.label for r in G.append_grouped(groups, links).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e"}
 
 
-def test_near_pairs_equal_brute_force(spark):
+def test_more_codes_take_longer_keys():
+    assert [bits.best_agree(n, n, 6) for n in (10**3, 10**5, 10**7, 10**9)] == sorted(bits.best_agree(n, n, 6) for n in (10**3, 10**5, 10**7, 10**9))
+    assert bits.best_agree(10, 10, 6) == 1 and bits.best_agree(10**9, 10**9, 6) >= 5
+    assert len(bits.block_masks(6, 3)) == 84 and all(m.bit_length() <= 64 for m in bits.block_masks(6, 3))
+
+
+@pytest.mark.parametrize("agree", [None, 1, 3, 6])
+def test_near_pairs_equal_brute_force(spark, agree):
     rng = random.Random(3)
     codes = [rng.getrandbits(63) for _ in range(30)]
     codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for c in codes for _ in range(3)]
     signed = [c - (1 << 64) if c >> 63 else c for c in set(codes)]
-    got = {(r.code_a, r.code_b) for r in G.near_pairs(spark.createDataFrame([(c,) for c in signed], "code long")).collect()}
+    got = {(r.code_a, r.code_b) for r in G.near_pairs(spark.createDataFrame([(c,) for c in signed], "code long"), agree=agree).collect()}
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6}
 
 
