@@ -166,5 +166,11 @@ SQL: dict[str, str] = {
     "p5_found": f"with {_P5} select target_id from fits, size where fits.n < greatest(share * sample_rate * size.n, min_rows)",
     "p5_report": f"with {_P5_REPORT} select target_id, target_set, need, n as available, wanted, given as allocated, n >= need as possible, given >= need as met from l3",
     "p6_found": f"with recursive {_P6} select distinct i as image_id, set_id from sets where set_id in (select set_id from sets join img using (i) group by set_id having count(distinct r) > 1)",
+    "p7_report": f"""with {_P7},
+src as (select distinct {KEY.format('image_id')} as i, {KEY.format('dataset_role')} as r, {KEY.format('source')} as source from dataset_image),
+exact as (select p.t, p.e, max(coalesce(a.s = b.s, false)) as same from pairs p join img a on a.i = p.t and a.r = 'development' join img b on b.i = p.e and b.r in ('validation', 'final_test') group by all),
+per as (select e as i, max(same) as same, count(*) as pairs from exact group by e)
+select r as role, source, count(*) as images, count(*) filter (where same) as with_exact, count(*) filter (where not same) as with_near_only, coalesce(sum(pairs), 0) as pairs
+from src left join per using (i) where r in ('validation', 'final_test') group by all""",
     "p7_found": f"with {_P7} select distinct least(t, e) as image_id_a, greatest(t, e) as image_id_b from pairs",
 }

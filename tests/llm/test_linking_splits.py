@@ -145,8 +145,13 @@ def test_overlap_equals_brute_force(spark):
                 ca, cb = code_of(ha), code_of(hb)
                 if sa and sa == sb or ca is not None and cb is not None and (ca ^ cb).bit_count() <= 6:
                     want.add((a, b))
-    for blocks in (2, 4, 7):
-        assert {(r.image_t, r.image_e) for r in overlap.cross_split_pairs(images, 6, blocks).collect()} == want
+    for agree in (None, 1, 2, 4):
+        assert {(r.image_t, r.image_e) for r in overlap.cross_split_pairs(images, 6, agree).collect()} == want
     report = overlap.overlap_report(images).collect()
     assert sum(r.pairs for r in report) == len(want)
+    both = images.unionByName(spark.createDataFrame([image("i001", dataset_role=r, sha256="shaX") for r in ("development", "final_test")] + [image("i002", dataset_role="development", sha256="shaX")], IMAGE))
+    pairs = {(r.image_t, r.image_e) for r in overlap.cross_split_pairs(both).collect()} - want
+    assert ("i002", "i001") in pairs and ("i001", "i001") not in pairs
+    assert sum(r.pairs for r in overlap.overlap_report(both.where("sha256 = 'shaX'")).collect()) == 1
+    assert overlap.overlap_report(images.limit(0)).count() == 0
     assert overlap.cross_split_pairs(images.limit(0)).count() == 0
