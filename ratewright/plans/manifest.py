@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.common import read
-from ratewright.sources.manifest_lines import COLUMNS, HEADER, parse_manifest_lines
+from ratewright.sources.manifest_lines import COLUMNS, HEADER, RULES, parse_manifest_lines
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,9 +34,13 @@ r as (select *, case when not whole then 'quoting' when len(f) <> 11 then 'colum
   when not regexp_full_match(v[1], '[0-9a-f]{{64}}') or not regexp_full_match(v[9], '[0-9]*[1-9][0-9]*') or not regexp_full_match(v[10], '[0-9]*[1-9][0-9]*')
     or v[8] not in ('good', 'mediocre', 'bad', 'edge') or regexp_full_match(v[5], '\\s*') then 'invalid_value' end as reason from u)"""
 
-_VALID = ", ".join(f"try_cast(v[{i + 1}] as bigint) as {n}" if n in ("width", "height") else f"v[{i + 1}] as {n.lower()}" for i, n in enumerate(COLUMNS))
+_VALID = ", ".join(f"try_cast(v[{i + 1}] as bigint) as {n}" if n in ("width", "height") else f"v[{i + 1}] as {n.lower()}" for i, n in enumerate(COLUMNS)) + ", v[9] as width_text, v[10] as height_text"
+_WHY = [("not regexp_full_match(v[1], '[0-9a-f]{64}')", "sha256"), ("not regexp_full_match(v[9], '[0-9]*[1-9][0-9]*')", "width"), ("not regexp_full_match(v[10], '[0-9]*[1-9][0-9]*')", "height"),
+        ("v[8] not in ('good', 'mediocre', 'bad', 'edge')", "queryVariant"), ("regexp_full_match(v[5], '\\s*')", "photographer")]
+_DETAILS = " union all ".join(f"select reason, '{RULES[n][1]}' as detail from r where reason = 'invalid_value' and {test}" for test, n in _WHY)
 
 SQL = {
     "p2_found": f"with {_SPLIT} select raw_id, reason from r where reason is not null",
+    "p2_reasons": f"with {_SPLIT}, d as (select reason, null as detail from r where reason in ('quoting', 'column_count') union all {_DETAILS}) select reason, detail, count(*) as n from d group by all",
     "p2_valid": f"with {_SPLIT} select raw_id, {_VALID} from r where reason is null",
 }

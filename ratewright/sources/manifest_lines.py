@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.common import WHITE, attach
+from ratewright.common import WHITE, attach, materialize
 
 #: Columns of a manifest line, in order (fixed values).
 COLUMNS = ["sha256", "url", "sourceUrl", "licence", "photographer", "photographerUrl", "query", "queryVariant", "width", "height", "file"]
@@ -68,17 +68,18 @@ def value_dictionary(split: DataFrame) -> DataFrame:
 def parse_manifest_lines(lines: DataFrame, key: str = "raw_id", line: str = "raw_line") -> tuple[DataFrame, DataFrame]:
     """Separate loadable lines from broken ones.
 
-    Returns ``(valid, rejected)``. ``valid`` has ``key`` and the eleven ManifestRow columns, width and height as
-    decimal(38,0) narrowed to long where they fit (null, never wrapped, where they don't). ``rejected`` has ``key``,
-    ``reason`` (quoting, column_count, invalid_value: the first that holds) and ``details`` (for invalid values, one text
-    per failing column in column order).
+    Returns ``(valid, rejected)``. ``valid`` has ``key`` and the eleven ManifestRow columns, width and height as long
+    (null, never wrapped, where they don't fit) and also as they were written, ``width_text`` and ``height_text``, so that
+    no valid value is lost. ``rejected`` has ``key``, ``reason`` (quoting, column_count, invalid_value: the first that
+    holds) and ``details`` (for invalid values, one text per failing column in column order).
 
     Null, blank and exact header lines are in neither result. Repeated lines are judged each on their own (key is
     unique). Very long lines are split without recursion. Extra columns of the input are ignored, whatever their names.
     An empty input gives two empty results.
     """
-    split = split_lines(lines.select(F.col(key).alias("__key"), F.col(line).alias("__line")), "__line")
-    total = lines.count() * len(RULES)
+    # Split once: the structure, the dictionary, its join and the valid rows all read it.
+    split = materialize(split_lines(lines.select(F.col(key).alias("__key"), F.col(line).alias("__line")), "__line").drop("__line"), "lines")
+    total = split.count() * len(RULES)
     hits = (
         attach(_cells(split, "__key"), value_dictionary(split), ["column", "value"], "n", total, only=F.col("why").isNotNull())
         .groupBy("__key")
@@ -98,6 +99,7 @@ def parse_manifest_lines(lines: DataFrame, key: str = "raw_id", line: str = "raw
                 (F.element_at("__fields", i + 1).try_cast("bigint") if n in ("width", "height") else F.element_at("__fields", i + 1)).alias(n.lower())
                 for i, n in enumerate(COLUMNS)
             ],
+            *[F.element_at("__fields", COLUMNS.index(n) + 1).alias(f"{n}_text") for n in ("width", "height")],
         )
     )
     return valid, rejected

@@ -262,7 +262,7 @@ def test_manifest_lines_against_state_machine(spark):
             want[n] = "invalid_value"
     assert {r.raw_id: r.reason for r in rejected.collect()} == want
     got = {r.raw_id: r for r in valid.collect()}
-    assert set(got) == {0, 3, 16} and got[0].photographer == 'Doe, "J"' and got[3].width == 10 and got[16].width is None
+    assert set(got) == {0, 3, 16} and got[0].photographer == 'Doe, "J"' and got[3].width == 10 and got[16].width is None and got[16].width_text == "9" * 20 and got[3].width_text == "010"
     v, r = L.parse_manifest_lines(df.limit(0))
     assert v.count() == 0 and r.count() == 0
 
