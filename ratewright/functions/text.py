@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words about a person that advice may not contain (fixed values).
-TRAITS = r"(?i)\b(attractive|beautiful|handsome|pretty|ugly|age|old|young|gender|male|female|race|ethnic\w*|skin|weight|fat|thin)\b"
+#: Words about a person that evidence may not contain (fixed values).
+TRAIT_WORDS = [
+    "man", "men", "woman", "women", "male", "female", "boy", "girl", "he", "she", "his", "her", "hers", "gentleman", "lady", "young", "elderly", "middle-aged", "adult", "child", "teenager", "age",
+    "race", "ethnicity", "religion", "sexual orientation", "political affiliation", "socioeconomic status", "attractive", "intelligent", "competent", "employable",
+]
+#: Words end where no ASCII letter, digit or underscore follows.
+TRAITS = rf"(?i)(?<![0-9A-Za-z_])(?:{'|'.join(TRAIT_WORDS)})(?![0-9A-Za-z_])"
 
 
 def strict_json(text: Column) -> Column:
@@ -73,8 +78,8 @@ def client_address(forwarded: Column, real: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-case extension of an address without its query; 'jpg' if there is none."""
-    e = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{2,5})(?:[?#].*)?$", 1))
+    """Lower-case image extension (jpg, jpeg, png or webp) at the end of an address or before its query; 'jpg' if there is none."""
+    e = F.lower(F.regexp_extract(path, r"(?i)\.(jpe?g|png|webp)(?:\?|\z)", 1))
     return F.when(e == "", "jpg").otherwise(e)
 
 

@@ -133,8 +133,28 @@ def distribution(ratings: DataFrame, by: list[str], score: str) -> DataFrame:
     n = total([F.col(f"c{v}") for v in LEVELS])
     rows = per.select(*by, n.alias("n"), "off_scale", F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"c{v}").alias("c")) for v in LEVELS])).alias("x")).select(*by, "n", "off_scale", "x.level", F.col("x.c").alias("count"))
     share = F.coalesce(F.try_divide(F.col("count").cast("double"), F.col("n")), F.lit(0.0))
-    flag = F.when(share > 0.6, "dominant").when(share < 0.05, "rare").otherwise("")
-    return rows.select(*by, "level", "count", share.alias("share"), flag.alias("flag"), "off_scale", (F.col("n") < 20).alias("provisional"))
+    flag = F.when(share > DOMINANT, "dominant").when(share < RARE, "rare").otherwise("")
+    return rows.select(*by, "level", "count", share.alias("share"), flag.alias("flag"), "off_scale", (F.col("n") < LEAST_RATINGS).alias("provisional"))
+
+
+#: Level shares over which an axis is nearly constant, or under which a level isn't used, and the fewest ratings that tell (fixed values).
+DOMINANT, RARE, LEAST_RATINGS = 0.6, 0.05, 20
+
+
+def distribution_flags(ratings: DataFrame, by: list[str], score: str) -> DataFrame:
+    """``(…, n, off_scale, collapsed, provisional, flags)`` of each group with a rating on the scale; ``flags`` are texts."""
+    rows = distribution(ratings, by, score)
+    percent = F.format_string("%.1f", F.col("share") * 100)
+    text = (
+        F.when(F.col("share") > DOMINANT, F.concat(F.lit("level "), "level", F.lit(" holds "), percent, F.lit("% of ratings - the axis is close to constant")))
+        .when(F.col("share") < RARE, F.concat(F.lit("level "), "level", F.lit(" holds "), percent, F.lit("% ("), "count", F.lit(") - raters are not using it")))
+    )
+    per = rows.groupBy(*by).agg(F.sum("count").alias("n"), F.first("off_scale").alias("off_scale"), F.bool_or(F.col("share") > DOMINANT).alias("collapsed"), F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("level", text.alias("t"))))).alias("x"))
+    whole = [
+        F.when(F.col("off_scale") > 0, F.concat("off_scale", F.lit(f" rating(s) were not one of {'/'.join(map(str, LEVELS))}"))),
+        F.when(F.col("n") < LEAST_RATINGS, F.concat(F.lit("only "), "n", F.lit(f" ratings; under {LEAST_RATINGS} the flags above are noise, not evidence"))),
+    ]
+    return per.where("n > 0").select(*by, "n", "off_scale", "collapsed", (F.col("n") < LEAST_RATINGS).alias("provisional"), F.concat(F.col("x.t"), F.array_compact(F.array(*whole))).alias("flags"))
 
 
 def variance_shares(rows: DataFrame, axes: list[str], weights: list[float]) -> DataFrame:
@@ -149,7 +169,7 @@ def variance_shares(rows: DataFrame, axes: list[str], weights: list[float]) -> D
 
 
 def ceiling_verdict(human: Column, model: Column, margin: float = 0.02) -> Column:
-    return F.when(model > human + margin, "above").when(model >= human - margin, "at").when(model.isNotNull() & human.isNotNull(), "headroom")
+    return F.when(model > human + margin, "above-ceiling").when(model >= human - margin, "at-ceiling").when(model.isNotNull() & human.isNotNull(), "headroom")
 
 
 def overlap_verdict(overlap: Column, alpha: Column, rank: Column, offset: Column) -> Column:

@@ -9,8 +9,9 @@ from ratewright.common import materialize, release
 from ratewright.functions.bits import best_agree, block_keys
 from ratewright.functions.numeric import hamming64
 
-#: Credits that name nobody (fixed values); the strict form needs a word boundary after the phrase.
-PLACEHOLDER = r"(?i)^\s*(unknown|not stated|not? known|anonymous|n/a|none|-)"
+#: Credits that name nobody (fixed values): where creators are grouped, and where clusters are made of a source list.
+PLACEHOLDER = r"(?i)^\s*(unknown|not stated|no(t)? known|anonymous|n\/?a|none|-)\b"
+PLACEHOLDER_OF_SOURCES = r"(?i)^\s*(unknown|not stated|no(t)? known|anonymous|n\/?a|none|-)\s*"
 
 
 def hash_code(hex16: Column) -> Column:
@@ -96,7 +97,13 @@ def duplicate_of(rows: DataFrame, key: str, content: str) -> DataFrame:
 def creator_group(credit: Column) -> Column:
     """``creator:`` and the normalised credit; null for a null, blank or placeholder credit."""
     name = F.lower(F.regexp_replace(F.trim(credit), r"\s+", " "))
-    return F.when((name != "") & ~credit.rlike(PLACEHOLDER + r"\b"), F.concat(F.lit("creator:"), name))
+    return F.when((name != "") & ~credit.rlike(PLACEHOLDER), F.concat(F.lit("creator:"), name))
+
+
+def source_cluster(creator: Column) -> Column:
+    """The trimmed creator as it stands, null where it is blank or a placeholder."""
+    name = F.trim(creator)
+    return F.when((name != "") & ~name.rlike(PLACEHOLDER_OF_SOURCES), name)
 
 
 def append_grouped(groups: DataFrame, links: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def light(p: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def block_quality(p: np.ndarray, block: int = 8) -> np.ndarray:
-    """100 less for every excess of horizontal steps on the block grid over steps inside blocks."""
-    if min(p.shape[1:]) < 2 or p.shape[2] < 2 * block:
+    """100 less for every excess of horizontal steps on the block grid over steps inside blocks; 100 below two blocks either way."""
+    if min(p.shape[1:]) < 2 * block:
         return np.full(len(p), 100.0)
     steps = np.abs(np.diff(p, axis=2))
     edge = np.arange(1, p.shape[2]) % block == 0
@@ -54,13 +54,26 @@ def plane_measures(rows: DataFrame, key: str, plane: str, width: int, height: in
     return ok.mapInArrow(run, f"key {kind}, sharpness double, mean double, range double, highlights double, shadows double, quality double").withColumnRenamed("key", key)
 
 
-def neighbour_hash(plane: Column, bits: int = 64) -> Column:
-    """Bit i tells whether value i exceeds the next one (the last is compared with the first); the first bit is the highest."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(bits)),
+def neighbour_hash(plane: Column, width: int = 9, height: int = 8) -> Column:
+    """Difference hash of a plane of ``height`` rows: a bit tells whether a value exceeds the next one in its row; the first
+    is the highest. Null for a plane of another size.
+    """
+    at = lambda i: (i / (width - 1)).cast("int") * width + i % (width - 1) + 1
+    bits = F.aggregate(
+        F.sequence(F.lit(0), F.lit((width - 1) * height - 1)),
         F.lit(0).cast("bigint"),
-        lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.try_element_at(plane, i) > F.try_element_at(plane, i % bits + 1), 1).otherwise(0).cast("bigint")),
+        lambda acc, i: F.shiftleft(acc, 1).bitwiseOR(F.when(F.try_element_at(plane, at(i)) > F.try_element_at(plane, at(i) + 1), 1).otherwise(0).cast("bigint")),
     )
+    return F.when(F.size(plane) == width * height, bits)
+
+
+def crop(p: np.ndarray, x: float, y: float, w: float, h: float, inset: float = 0.0) -> np.ndarray:
+    """The part of planes ``(n, height, width)`` under a box in shares of the frame, less ``inset`` of it on each side, one pixel at least."""
+    height, width = p.shape[1:]
+    left, top, right, bottom = x + w * inset, y + h * inset, x + w * (1 - inset), y + h * (1 - inset)
+    x0, y0 = min(max(int(np.floor(left * width)), 0), width - 1), min(max(int(np.floor(top * height)), 0), height - 1)
+    x1, y1 = min(max(int(np.ceil(right * width)), x0 + 1), width), min(max(int(np.ceil(bottom * height)), y0 + 1), height)
+    return p[:, y0:y1, x0:x1]
 
 
 def primary_box(boxes: DataFrame, image: str, tie: float = 0.05) -> DataFrame:

@@ -59,8 +59,8 @@ def with_totals(counts: DataFrame, by: list[str]) -> DataFrame:
 def mode(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Most frequent value per ``by``; of equal counts the one seen first by ``order``."""
     c = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
-    best = c.groupBy(*by).agg(F.max(F.struct("n", (-F.col("seen")).alias("early"), value)).alias("m"), F.sum("n").alias("t"))
-    return best.select(*by, F.col(f"m.{value}").alias("mode"), (F.col("m.n") / F.col("t")).alias("share"))
+    best = c.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("less"), "seen", value)).alias("m"), F.sum("n").alias("t"))
+    return best.select(*by, F.col(f"m.{value}").alias("mode"), (-F.col("m.less") / F.col("t")).alias("share"))
 
 
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int = 8) -> Column:

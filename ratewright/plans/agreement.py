@@ -119,10 +119,11 @@ def model_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ceiling_report(spark: SparkSession, d: str) -> DataFrame:
+    """The model's pairwise accuracy against that of raters among each other, per axis; ``unmatched`` has only one of them."""
     h = rater_pairs(spark, d).groupBy("axis").agg(F.avg("accuracy").alias("human"))
     m = _model_pairs(spark, d).groupBy("axis").agg(F.avg("accuracy").alias("model"))
     both = h.join(m, "axis", "full_outer")
-    return both.select("axis", _R("human", "human"), _R("model", "model"), A.ceiling_verdict(F.col("human"), F.col("model")).alias("verdict"), _R(F.when(F.col("human") != 0, F.col("model") / F.col("human")), "fraction"))
+    return both.select("axis", _R("human", "human"), _R("model", "model"), _R(F.col("human") - F.col("model"), "headroom"), _R(F.when(F.col("human") == 0, 0.0 * F.col("model")).otherwise(F.col("model") / F.col("human")), "fraction"), A.ceiling_verdict(F.col("human"), F.col("model")).alias("verdict"), (F.col("human").isNull() | F.col("model").isNull()).alias("unmatched"))
 
 
 def _passes(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +138,9 @@ def overlap_verdict(spark: SparkSession, d: str) -> DataFrame:
     long = p.select("axis", "image_id", F.explode(F.array("old", "new")).alias("score"))
     alpha = A.ordinal_alpha(long, ["axis"], "image_id", "score").select("axis", "alpha", F.col("units").alias("overlap"))
     rank = A.concordance(A.cells(p, ["axis"], "old", "new"), ["axis"]).select("axis", A.rank_agreement().alias("rank_agreement"))
-    offset = p.groupBy("axis").agg(F.expr("percentile(new - old, 0.5)").alias("offset"))
+    offset = p.groupBy("axis").agg(F.avg(F.col("new") - F.col("old")).alias("offset"), F.expr("percentile(old, 0.5)").alias("median_old"), F.expr("percentile(new, 0.5)").alias("median_new"))
     out = alpha.join(rank, "axis").join(offset, "axis")
-    return out.select("axis", "overlap", _R("alpha", "alpha"), _R("rank_agreement", "rank_agreement"), "offset", A.overlap_verdict(F.col("overlap"), F.col("alpha"), F.col("rank_agreement"), F.col("offset")).alias("verdict"))
+    return out.select("axis", "overlap", _R("alpha", "alpha"), _R("rank_agreement", "rank_agreement"), _R("offset", "offset"), "median_old", "median_new", A.overlap_verdict(F.col("overlap"), F.col("alpha"), F.col("rank_agreement"), F.col("offset")).alias("verdict"))
 
 
 def anchor_check(spark: SparkSession, d: str) -> DataFrame:
@@ -211,8 +212,8 @@ SQL = {
     "variance_contribution": f"with {M.SCORED_SQL}, f as (select *, sharpness * 0.16::double + lighting * 0.07::double + resolution * 0.09::double + framing * 0.18::double as s from lv where framing is not null), a as ({' union all '.join(f'select {chr(39)}{a}{chr(39)} as axis, {a} as v, {a} * {w}::double as wv, s from f' for a, w in zip(S.COMPUTED, S.WEIGHTS['corporate']))}) select axis, round(covar_samp(wv, s) / var_samp(s), 6) as share, round(stddev_samp(v), 6) as sd, abs(covar_samp(wv, s) / var_samp(s)) < 0.02 as dead_weight, count(*) as n from a group by 1",
     "self_agreement": f"with {_LABELS}, {_SELF} select axis, round(avg(acc), 6) as accuracy, count(*) as pairs from sq group by 1",
     "model_agreement": f"with {_LEVELS}, {_MODEL} select axis, round(avg(acc), 6) as accuracy, count(*) as raters from mq group by 1",
-    "ceiling_report": f"with {_LEVELS}, {_SELF}, {_MODEL}, h as (select axis, avg(acc) as human from sq group by 1), m as (select axis, avg(acc) as model from mq group by 1) select axis, round(human, 6) as human, round(model, 6) as model, case when model > human + 0.02 then 'above' when model >= human - 0.02 then 'at' when model is not null and human is not null then 'headroom' end as verdict, round(model / nullif(human, 0), 6) as fraction from h full join m using (axis)",
-    "overlap_verdict": f"with {_LABELS}, {_PASSES}, {_alpha_sql('lo')}, {_PAIR}, f as (select axis, count(*) as overlap, median(y - x) as \"offset\" from p group by 1) select f.axis, overlap, round(alpha, 6) as alpha, round(c / (c + d)::double, 6) as rank_agreement, \"offset\", case when overlap < 20 then 'block' when alpha is null then 'block' when alpha < 0.65 and c / (c + d)::double >= 0.8 and abs(\"offset\") >= 0.5 then 'rescale' when alpha < 0.65 then 'block' else 'merge' end as verdict from f join al using (axis) join t using (axis)",
+    "ceiling_report": f"with {_LEVELS}, {_SELF}, {_MODEL}, h as (select axis, avg(acc) as human from sq group by 1), m as (select axis, avg(acc) as model from mq group by 1) select axis, round(human, 6) as human, round(model, 6) as model, round(human - model, 6) as headroom, human is null or model is null as unmatched, case when model > human + 0.02 then 'above-ceiling' when model >= human - 0.02 then 'at-ceiling' when model is not null and human is not null then 'headroom' end as verdict, round(case when human = 0 then 0 * model else model / human end, 6) as fraction from h full join m using (axis)",
+    "overlap_verdict": f"with {_LABELS}, {_PASSES}, {_alpha_sql('lo')}, {_PAIR}, f as (select axis, count(*) as overlap, avg(y - x) as \"offset\", median(x) as median_old, median(y) as median_new from p group by 1) select f.axis, overlap, round(alpha, 6) as alpha, round(c / (c + d)::double, 6) as rank_agreement, round(\"offset\", 6) as \"offset\", median_old, median_new, case when overlap < 20 then 'block' when alpha is null then 'block' when alpha < 0.65 and c / (c + d)::double >= 0.8 and abs(\"offset\") >= 0.5 then 'rescale' when alpha < 0.65 then 'block' else 'merge' end as verdict from f join al using (axis) join t using (axis)",
     "anchor_check": f"with {_LEVELS}, a as (select axis, image_id, min(score) as s from r group by 1, 2 having count(*) >= 4 and min(score) = max(score)) select axis, count(*) as anchors, count(*) filter (abs(model - s) <= 1) as ok from a join mod using (axis, image_id) group by 1",
     "ratings_by_unit": f"with {_LABELS} select axis, image_id, string_agg(rater || '=' || score, ';' order by rater) as ratings from r group by 1, 2",
     "large_disagreements": f"with {_LEVELS} select image_id, axis, x as human, y as model from p where abs(x - y) >= 2",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratewright.common import norm_key, read
+from ratewright.functions.text import mime_of
+from ratewright.operators import agreement as A
 from ratewright.operators import grouping as G
 from ratewright.operators import summary as Y
 from ratewright.plans import agreement as P
@@ -72,9 +74,9 @@ def creator_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def clusters_from_creators(spark: SparkSession, d: str) -> DataFrame:
     """Cluster of each image: its creator where that has several images, else the image itself."""
-    rows = read(spark, d, "dataset_image").select(norm_key("image_id").alias("image_id"), G.creator_group(F.col("creator")).alias("g")).distinct()
+    rows = read(spark, d, "dataset_image").select(norm_key("image_id").alias("image_id"), G.source_cluster(F.col("creator")).alias("g")).where("image_id is not null").distinct()
     several = rows.where("g is not null").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(several, "g", "left").select("image_id", F.when(F.col("n") > 1, F.col("g")).otherwise(F.concat(F.lit("image:"), "image_id")).alias("cluster"))
+    return rows.join(several, "g", "left").select("image_id", F.when(F.col("n") > 1, F.concat(F.lit("creator:"), "g")).otherwise(F.concat(F.lit("image:"), "image_id")).alias("cluster"))
 
 
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +119,8 @@ def distribution_deciles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def modes(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.ratings(spark, d).select("axis", "score", F.crc32(F.concat_ws("|", "image_id", "rater")).alias("seen"))
+    """The commonest level of each axis and its share; of equals the one that was labelled first."""
+    rows = P.labels(spark, d).where("score between 1 and 5").select("axis", "score", F.struct("labelled_at", "image_id", "rater").alias("seen"))
     return Y.mode(rows, ["axis"], "score", "seen").select("axis", "mode", F.round("share", 6).alias("share"))
 
 
@@ -191,24 +194,36 @@ def quota_rollup(spark: SparkSession, d: str) -> DataFrame:
     return m.rollup("variant", "query").agg(F.count("*").alias("have")).select(F.coalesce("variant", F.lit("TOTAL")).alias("variant"), F.coalesce("query", F.lit("")).alias("query"), "have")
 
 
+#: First bytes of a JPEG, PNG, WebP and HEIF file and of none of them (fixed values).
+HEADS = ["FFD8FFE000104A46", "89504E470D0A1A0A0000", "524946462400000057454250", "000000186674797068656963", "474946383961"]
+TYPES = ["image/jpeg", " IMAGE/PNG", "image/webp; q=1", "image/heif", "text/plain", None]
+
+
 def mime_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Declared type against the file's extension; parameters, case and outer space don't matter."""
-    i = read(spark, d, "dataset_image").select("mime_type", "file_path").distinct()
-    ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
-    real = F.when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "png", "image/png").when(ext == "webp", "image/webp")
-    told = F.lower(F.trim(F.split_part("mime_type", F.lit(";"), F.lit(1))))
-    return i.select(told.alias("told"), real.alias("real")).groupBy("told", "real").agg(F.count("*").alias("n"))
+    """Declared type against the type by a file's first bytes, here those that event numbers stand for; parameters, case and
+    outer space don't matter.
+    """
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    e = read(spark, d, "events").select(pick(TYPES, F.col("event_id")).alias("declared"), F.unhex(pick(HEADS, F.col("event_id") * 7 + F.col("user_id"))).alias("content"))
+    told = F.lower(F.trim(F.split_part("declared", F.lit(";"), F.lit(1))))
+    return e.select(told.alias("told"), mime_of(F.col("content")).alias("real")).groupBy("told", "real").agg(F.count("*").alias("n"), F.count_if(F.col("told") == F.col("real")).alias("agree"))
+
+
+def axis_flags(spark: SparkSession, d: str) -> DataFrame:
+    """What is odd about the levels of each axis, in words; ``collapsed`` if one level holds over 60 %."""
+    a = A.distribution_flags(P.labels(spark, d), ["axis"], "score")
+    return a.select("axis", "n", "collapsed", "provisional", "off_scale", F.array_join("flags", "; ").alias("flags"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_duplicates, first_of_content, corpus_collisions, near_duplicate_pairs, phash_groups, near_duplicate_images, phash_members, creator_groups, clusters_from_creators, source_counts, resolution_spread, describe_scalars, distribution_deciles, modes, coverage_bins, label_conflicts, merge_human_labels, cache_first_wins, features_last_wins, latest_image_state, cache_prune, manifest_index, quota_plan, quota_rollup, mime_checks)
+    for f in (exact_duplicates, first_of_content, corpus_collisions, near_duplicate_pairs, phash_groups, near_duplicate_images, phash_members, creator_groups, clusters_from_creators, source_counts, resolution_spread, describe_scalars, distribution_deciles, modes, coverage_bins, label_conflicts, merge_human_labels, cache_first_wins, features_last_wins, latest_image_state, cache_prune, manifest_index, quota_plan, quota_rollup, mime_checks, axis_flags)
 }
 
 _K = P._K
 _IMG = f"img as (select distinct {_K('image_id')} as image_id, {_K('sha256')} as sha256, perceptual_hash, {_K('dataset_role')} as role, {_K('source')} as source, creator, width, height from dataset_image where {_K('image_id')} is not null)"
 _CODE = f"{_IMG}, c as (select distinct image_id, cast(('0x' || lower(trim(perceptual_hash))) as ubigint) as h from img where regexp_full_match(lower(trim(perceptual_hash)), '[0-9a-f]{{16}}'))"
-_GROUP = "case when trim(creator) <> '' and not regexp_matches(creator, '(?i)^\\s*(unknown|not stated|not? known|anonymous|n/a|none|-)\\b') then 'creator:' || lower(regexp_replace(trim(creator), '\\s+', ' ', 'g')) end"
+_GROUP = "case when trim(creator) <> '' and not regexp_matches(creator, '(?i)^\\s*(unknown|not stated|no(t)? known|anonymous|n\\/?a|none|-)\\b') then 'creator:' || lower(regexp_replace(trim(creator), '\\s+', ' ', 'g')) end"
 _LONG = f"{M.VECTORS_SQL}, lg as ({' union all '.join(f'select {chr(39)}{s}{chr(39)} as field, {s} as v from v where {s} is not null' for s in SCALARS)}), a as (select field, list(v order by v) as s, count(*) as n from lg group by 1)"
 
 SQL = {
@@ -220,7 +235,7 @@ SQL = {
     "near_duplicate_images": f"with {_IMG}, c as (select distinct image_id, sha256, cast(('0x' || lower(trim(perceptual_hash))) as ubigint) as h from img where regexp_full_match(lower(trim(perceptual_hash)), '[0-9a-f]{{16}}')) select distinct a.image_id as image_a, b.image_id as image_b, bit_count(xor(a.h, b.h))::int as bits from c a join c b on a.image_id < b.image_id and (a.sha256 = b.sha256) is not true and bit_count(xor(a.h, b.h)) <= 6",
     "phash_members": f"with recursive {_CODE}, h as (select distinct h from c), e as (select a.h as a, b.h as b from h a join h b on bit_count(xor(a.h, b.h)) <= 6), w as (select a as v, a as u from e union select w.v, e.b from w join e on e.a = w.u), g as (select v as h, min(u) as k from w group by v) select image_id, printf('%016x', h) as hash, printf('%016x', k) as keeper, min(image_id) over (partition by k) as first_image, count(distinct image_id) over (partition by k) as images from c join g using (h)",
     "creator_groups": f"select distinct creator, {_GROUP} as creator_group from dataset_image",
-    "clusters_from_creators": f"with r as (select distinct {_K('image_id')} as image_id, {_GROUP} as g from dataset_image) select image_id, case when g is not null and count(*) over (partition by g) > 1 then g else 'image:' || image_id end as cluster from r",
+    "clusters_from_creators": f"with r as (select distinct {_K('image_id')} as image_id, case when trim(creator) <> '' and not regexp_matches(trim(creator), '(?i)^\\s*(unknown|not stated|no(t)? known|anonymous|n\\/?a|none|-)\\s*') then trim(creator) end as g from dataset_image where {_K('image_id')} is not null) select image_id, case when g is not null and count(*) over (partition by g) > 1 then 'creator:' || g else 'image:' || image_id end as cluster from r",
     "source_counts": f"with {_IMG} select coalesce(source, 'TOTAL') as source, coalesce(role, 'ALL') as role, count(*) as n from (select distinct image_id, source, role from img) group by rollup(source, role)",
     "resolution_spread": f"with {_IMG}, s as (select distinct image_id, width, height from img where width is not null and height is not null), l as (select list(width * height / 1e6 order by width * height / 1e6) as m, count(*) as n, count(distinct (width, height)) as sizes from s) select n, round(m[ceil(n * 0.1::double)::int], 6) as p10, round(m[ceil(n * 0.5::double)::int], 6) as p50, round(m[ceil(n * 0.9::double)::int], 6) as p90, sizes from l",
     "describe_scalars": f"with {_LONG} select field, n, s[1] as low, s[least(n - 1, floor(n * 0.25)::int) + 1] as p25, s[least(n - 1, floor(n * 0.5)::int) + 1] as p50, s[least(n - 1, floor(n * 0.75)::int) + 1] as p75, s[n] as high, len(list_distinct(s)) as different, (select round(max(k) / a.n::double, 6) from (select count(*) as k from lg where lg.field = a.field group by v)) as mode_share from a",
@@ -237,5 +252,11 @@ SQL = {
       p as (select variant, share, place, count(*) as queries from m join v using (variant) group by 1, 2, 3), e as (select *, share / sum(share) over () * 1000 as exact from p), f as (select *, floor(exact) as base from e), g as (select *, 1000 - sum(base) over () as short, row_number() over (order by round(exact - base, 9) desc, place) as r from f),
       h as (select variant, (base + (r <= short)::int)::bigint as total, queries from g), q as (select variant, query, row_number() over (partition by variant order by query) as k from m join v using (variant)) select variant, query, total // queries + (k <= total % queries)::int as wanted from q join h using (variant)""",
     "quota_rollup": f"with m as (select distinct {_K('sha256')} as sha256, {_K('queryvariant')} as variant, {_K('query')} as query from manifest where {_K('queryvariant')} is not null and {_K('query')} is not null) select coalesce(variant, 'TOTAL') as variant, coalesce(query, '') as query, count(*) as have from m group by rollup(variant, query)",
-    "mime_checks": "with i as (select distinct mime_type, file_path from dataset_image), x as (select lower(trim(split_part(mime_type, ';', 1))) as told, lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) as e from i) select told, case when e in ('jpg', 'jpeg') then 'image/jpeg' when e = 'png' then 'image/png' when e = 'webp' then 'image/webp' end as real, count(*) as n from x group by 1, 2",
+    "mime_checks": f"""with e as (select lower(trim(split_part({[t or '' for t in TYPES]}[event_id % {len(TYPES)} + 1], ';', 1))) as t, {['image/jpeg', 'image/png', 'image/webp', 'image/heif', '']}[(event_id * 7 + user_id) % {len(HEADS)} + 1] as h from events), x as (select nullif(t, '') as told, nullif(h, '') as real from e)
+      select told, real, count(*) as n, count(*) filter (told = real) as agree from x group by 1, 2""",
+    "axis_flags": f"""with {P._LABELS}, lv as (select unnest([1, 2, 3, 4, 5]) as level), n as (select axis, count(*) filter (score between 1 and 5) as n, count(*) filter (score not between 1 and 5) as off from l group by 1 having count(*) filter (score between 1 and 5) > 0),
+      c as (select n.axis, level, n.n, off, (select count(*) from l where l.axis is not distinct from n.axis and l.score = level) as k from n cross join lv), s as (select *, k / n::double as share from c),
+      f as (select axis, any_value(n) as n, any_value(off) as off_scale, bool_or(share > 0.6) as collapsed, string_agg(case when share > 0.6 then printf('level %d holds %.1f%% of ratings - the axis is close to constant', level, share * 100) when share < 0.05 then printf('level %d holds %.1f%% (%d) - raters are not using it', level, share * 100, k) end, '; ' order by level) as t from s group by axis)
+      select axis, n, collapsed, n < 20 as provisional, off_scale, concat_ws('; ', t, case when off_scale > 0 then off_scale || ' rating(s) were not one of 1/2/3/4/5' end, case when n < 20 then 'only ' || n || ' ratings; under 20 the flags above are noise, not evidence' end) as flags from f""",
+    "modes": f"with {P._LABELS}, c as (select axis, score, count(*) as n, min((labelled_at, image_id, rater)) as seen, sum(count(*)) over (partition by axis) as t from l where score between 1 and 5 group by 1, 2) select axis, score as mode, round(n / t, 6) as share from c qualify row_number() over (partition by axis order by n desc, seen) = 1",
 }

@@ -56,13 +56,16 @@ def plane_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Planes read as 32 x 2, wide enough for the block grid."""
-    return K.plane_measures(_planes(spark, d), "vec_id", "plane", 32, 2).select("vec_id", F.round("quality", 6).alias("quality"))
+    """Four planes of 8 x 8 stand under each other twice: 16 x 16, two blocks either way."""
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(x.cast("double") * 400 + 128))))
+    rows = read(spark, d, "embeddings").select("vec_id", F.flatten(F.array_repeat(grey, 4)).alias("plane"))
+    return K.plane_measures(rows, "vec_id", "plane", 16, 16).select("vec_id", F.round("quality", 6).alias("quality"))
 
 
 def plane_hashes(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "embeddings")
-    return p.select("vec_id", F.lpad(F.lower(F.hex(K.neighbour_hash(F.col("embedding")))), 16, "0").alias("hash"))
+    """Vectors with their first eight values again at the end, as planes of 9 x 8."""
+    p = read(spark, d, "embeddings").select("vec_id", F.concat("embedding", F.slice("embedding", 1, 8)).alias("plane"))
+    return p.select("vec_id", F.lpad(F.lower(F.hex(K.neighbour_hash(F.col("plane")))), 16, "0").alias("hash"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -102,9 +105,9 @@ SQL = {
     "plane_measures": f"""with {_PIX}, l as (select a.vec_id, u.v + dn.v + lf.v + rt.v - 4 * a.v as r from g a join g u on u.vec_id = a.vec_id and u.x = a.x and u.y = a.y - 1 join g dn on dn.vec_id = a.vec_id and dn.x = a.x and dn.y = a.y + 1
       join g lf on lf.vec_id = a.vec_id and lf.y = a.y and lf.x = a.x - 1 join g rt on rt.vec_id = a.vec_id and rt.y = a.y and rt.x = a.x + 1), s as (select vec_id, greatest(0, avg(r * r) - avg(r) * avg(r)) as sharpness from l group by 1),
       o as (select vec_id, list(v order by v) as f, avg(v) as mean, avg((v >= 250)::int) as highlights, avg((v <= 5)::int) as shadows from g group by 1) select vec_id, round(sharpness, 6) as sharpness, round(mean, 6) as mean, f[64] - f[1] as range, round(highlights, 6) as highlights, round(shadows, 6) as shadows from s join o using (vec_id)""",
-    "block_quality": f"""with {_PIX}, s as (select a.vec_id, (a.i % 32 + 1) % 8 = 0 as edge, abs(b.v - a.v) as d from g a join g b on b.vec_id = a.vec_id and b.i = a.i + 1 and b.i // 32 = a.i // 32), m as (select vec_id, avg(d) filter (edge) as b, avg(d) filter (not edge) as i from s group by 1)
+    "block_quality": f"""with {_PIX}, s as (select a.vec_id, (a.i % 16 + 1) % 8 = 0 as edge, abs(b.v - a.v) as d from g a join g b on b.vec_id = a.vec_id and b.i = a.i + 1 and b.i // 16 = a.i // 16), m as (select vec_id, avg(d) filter (edge) as b, avg(d) filter (not edge) as i from s group by 1)
       select vec_id, round(case when i > 0 then greatest(0, least(100, 100 - greatest(0, b / i - 1) * 26)) when b > 0 then 0 else 100 end, 6) as quality from m""",
-    "plane_hashes": "with p as (select vec_id, [(embedding[i] > embedding[i % 64 + 1])::int::varchar for i in range(1, 65)] as b from embeddings) select vec_id, array_to_string([lpad(lower(to_hex(list_sum([b[k * 4 + j + 1]::int * (8 >> j) for j in range(4)])::int)), 1, '0') for k in range(16)], '') as hash from p",
+    "plane_hashes": "with w as (select vec_id, list_concat(embedding, embedding[1:8]) as e from embeddings), p as (select vec_id, [(e[i // 8 * 9 + i % 8 + 1] > e[i // 8 * 9 + i % 8 + 2])::int::varchar for i in range(64)] as b from w) select vec_id, array_to_string([lpad(lower(to_hex(list_sum([b[k * 4 + j + 1]::int * (8 >> j) for j in range(4)])::int)), 1, '0') for k in range(16)], '') as hash from p",
     "primary_faces": f"""with {_BOX}, a as (select *, w * h as area, sqrt(power(x + w / 2 - 0.5, 2) + power(y + h / 2 - 0.5, 2)) as off from b), m as (select *, max(area) over (partition by l_orderkey) as most from a),
       p as (select l_orderkey, arg_min(ordinal, (off, ordinal)) as ordinal from m where area >= most * (1 - 0.05::double) group by 1), t as (select l_orderkey, list(area order by area desc) as l from a group by 1) select l_orderkey, ordinal, round(case when len(l) > 1 then least(1.0, l[2] / l[1]) end, 6) as second_ratio from p join t using (l_orderkey)""",
 }

@@ -107,11 +107,11 @@ j as (select doc_id, way, case way when 'plain' then text when 'fenced' then fen
 SQL = {
     "reply_parse": f"with {_REPLY} select doc_id, way, json_extract_string(js, '$.status') as status from j",
     "reply_scores": f"with {_REPLY}, s as (select doc_id, unnest(map_entries(from_json(json_extract(js, '$.scores'), '\"MAP(VARCHAR, INTEGER)\"'))) as e from j) select doc_id, e.key as axis, e.value as score from s where e.value between 1 and 5",
-    "trait_filter": "select source, count(*) filter (regexp_matches(text, '(?i)\\b(attractive|beautiful|handsome|pretty|ugly|age|old|young|gender|male|female|race|ethnic\\w*|skin|weight|fat|thin)\\b')) as rejected, count(*) as n from (select distinct doc_id, source, text from documents) group by 1",
+    "trait_filter": f"select source, count(*) filter (regexp_matches(text, '(?i)\\b(?:{'|'.join(T.TRAIT_WORDS)})\\b')) as rejected, count(*) as n from (select distinct doc_id, source, text from documents) group by 1",
     "label_lines": "select case event_id % 9 when 1 then 'not JSON (trailing comma)' when 2 then 'not an object' when 3 then 'missing id' when 4 then 'missing axes' when 5 then 'empty axes' when 6 then 'axis value is not a finite number' when 7 then 'not JSON' else 'record' end as reason, count(*) as n from events where event_id % 9 <> 8 group by 1",
     "csv_lines": "with m as (select distinct sha256, url, photographer, query, width from manifest), c as (select [regexp_replace(coalesce(x, ''), '[\\r\\n]+', ' ', 'g') for x in [sha256, url, photographer, query, width::varchar]] as f from m) select array_to_string([case when regexp_matches(x, '[\",]') then '\"' || replace(x, '\"', '\"\"') || '\"' else x end for x in f], ',') as line from c",
     "csv_round_trip": "select query, count(*) as n, sum(width)::bigint as width from (select distinct sha256, url, photographer, trim(query, ' ') as q0, query, width from manifest) group by 1",
-    "extensions": "select case when e = '' then 'jpg' else e end as extension, count(*) as n from (select lower(regexp_extract(sourceurl, '\\.([A-Za-z0-9]{2,5})(?:[?#].*)?$', 1)) as e from manifest) group by 1",
+    "extensions": "select case when e = '' then 'jpg' else e end as extension, count(*) as n from (select lower(regexp_extract(sourceurl, '(?i)\\.(jpe?g|png|webp)(?:\\?|$)', 1)) as e from manifest) group by 1",
     "percents": "with m as (select distinct width, height from dataset_image where width is not null and height > 0), x as (select width / (width + height * 40)::double * 100 as v from m) select case when v > 0 and v < 1 then printf('%.1f%%', v) else floor(v + 0.5)::bigint || '%' end as p, count(*) as n from x group by 1",
     "content_hashes": "select sha256(text) as sha256, count(*) as n from (select distinct doc_id, text from documents where text is not null) group by 1 having count(*) > 1",
 }

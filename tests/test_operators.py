@@ -369,3 +369,42 @@ def test_shared_dir_is_the_sessions(spark):
     df = common.materialize(spark.range(5))
     assert df.count() == 5 and common.shared_dir(spark) in df._ratewright_path
     common.release(df)
+
+
+def test_traits_and_extensions(spark):
+    rows = [("He frames it well.", "a/b.PNG?x=1"), ("The theme is fine.", "a/b.gif"), ("middle-aged, perhaps", "a/b.jpeg"), ("The skin is pretty.", "a.jpg/b"), ("political affiliation", "a/b.webp#x")]
+    got = spark.createDataFrame(rows, "t string, u string").select(F.col("t").rlike(T.TRAITS).alias("t"), T.extension(F.col("u")).alias("u")).collect()
+    assert [(r.t, r.u) for r in got] == [(True, "png"), (False, "jpg"), (True, "jpeg"), (False, "jpg"), (True, "jpg")]
+
+
+def test_placeholders(spark):
+    rows = [("NA",), ("n/a (unstated)",), ("Nobody Inc",), ("no known author",), ("not known",), ("Unknownish",), (" - ",), ("Ann  Bell",), (None,)]
+    got = spark.createDataFrame(rows, "c string").select(G.creator_group(F.col("c")).alias("g"), G.source_cluster(F.col("c")).alias("s")).collect()
+    assert [r.g for r in got] == [None, None, "creator:nobody inc", None, None, "creator:unknownish", "creator:-", "creator:ann bell", None]
+    assert [r.s for r in got] == [None, None, "Nobody Inc", None, None, None, None, "Ann  Bell", None]
+
+
+def test_difference_hash_and_small_planes(spark):
+    plane = [float((7 * i) % 11) for i in range(72)]
+    want = 0
+    for y in range(8):
+        for x in range(8):
+            want = want << 1 | (plane[y * 9 + x] > plane[y * 9 + x + 1])
+    rows = [(plane,), (plane[:64],), (None,)]
+    got = [r.h for r in spark.createDataFrame(rows, "p array<double>").select(K.neighbour_hash(F.col("p")).alias("h")).collect()]
+    assert got[0] & (2**64 - 1) == want and got[1:] == [None, None]
+    steps = K.np.tile(K.np.repeat([0.0, 50.0, 0.0, 50.0], 8), (1, 32, 1))
+    assert K.block_quality(steps)[0] == 0 and K.block_quality(steps[:, :15])[0] == 100 and K.block_quality(steps[:, :, :15])[0] == 100
+    assert K.crop(K.np.arange(100.0).reshape(1, 10, 10), 0.2, 0.4, 0.3, 0.1).tolist() == [[[42.0, 43.0, 44.0]]]
+
+
+def test_flags_of_a_distribution(spark):
+    df = spark.createDataFrame([("a", s) for s in [3] * 15 + [1, 2, 4, 5] + [9, None]] + [("b", 9)], "axis string, score int")
+    r = A.distribution_flags(df, ["axis"], "score").collect()
+    assert len(r) == 1 and r[0].collapsed and r[0].provisional and r[0].n == 19 and r[0].off_scale == 1
+    assert r[0].flags == ["level 3 holds 78.9% of ratings - the axis is close to constant", "1 rating(s) were not one of 1/2/3/4/5", "only 19 ratings; under 20 the flags above are noise, not evidence"]
+
+
+def test_mode_takes_the_first_seen(spark):
+    df = spark.createDataFrame([("a", 2, 5), ("a", 4, 1), ("a", 2, 9), ("a", 4, 7), ("a", 1, 0)], "g string, v int, at int")
+    assert [tuple(r) for r in Y.mode(df, ["g"], "v", "at").collect()] == [("a", 4, 0.4)]
