@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratewright.common import materialize
+from ratewright.operators.summary import order_bucket
 
 LEVELS = [1, 2, 3, 4, 5]
 
@@ -175,3 +176,53 @@ def ceiling_verdict(human: Column, model: Column, margin: float = 0.02) -> Colum
 def overlap_verdict(overlap: Column, alpha: Column, rank: Column, offset: Column) -> Column:
     """Whether two labelling passes may be merged: too little overlap or agreement blocks; a steady shift may be rescaled."""
     return F.when(overlap < 20, "block").when(alpha.isNull(), "block").when((alpha < 0.65) & (rank >= 0.8) & (F.abs(offset) >= 0.5), "rescale").when(alpha < 0.65, "block").otherwise("merge")
+
+
+def rank_statistics(rows: DataFrame, by: list[str], level: str, value: str) -> DataFrame:
+    """``(…, n, rho, concordant, discordant, tied_x, tied_y)`` of levels 1 to 5 against any numbers, x being the level.
+
+    Counts of levels are summed over order buckets and within each bucket, so neither pairs nor a whole group meet in one
+    task, however many different values there are. Rows without a level or value are left out; ``rho`` is null for a
+    constant series.
+    """
+    full = rows.where(F.col(value).isNotNull() & F.col(level).isin(LEVELS))
+    names = [f"c{v}" for v in LEVELS]
+    c = full.groupBy(*by, F.col(value).alias("v")).agg(*[F.count_if(F.col(level) == v).cast("double").alias(f"c{v}") for v in LEVELS]).withColumn("bucket", order_bucket(F.col("v")))
+    per = c.groupBy(*by, "bucket").agg(*[F.sum(k).alias(k) for k in names])
+    over = Window.partitionBy(*by).orderBy("bucket")
+    start = per.select(*by, "bucket", *[(F.sum(k).over(over) - F.col(k)).alias(f"s{k}") for k in names])
+    within = Window.partitionBy(*by, "bucket").orderBy("v")
+    p = c.join(start, [*by, "bucket"]).select(*by, *names, *[(F.col(f"s{k}") + F.sum(k).over(within) - F.col(k)).alias(f"b{k}") for k in names])
+    pairs = [(a, b) for a in names for b in names if a < b]
+    rank = total([F.col(f"b{k}") for k in names]) + (total([F.col(k) for k in names]) + 1) / 2
+    t = total([F.col(k) for k in names])
+    g = p.withColumns({"r": rank, "t": t}).groupBy(*by).agg(
+        *[F.sum(k).alias(f"n{k}") for k in names],
+        *[F.sum(F.col(k) * F.col("r")).alias(f"r{k}") for k in names],
+        F.sum(F.col("t") * F.col("r") * F.col("r")).alias("vv"),
+        F.sum(total([F.col(b) * F.col(f"b{a}") for a, b in pairs])).alias("concordant"),
+        F.sum(total([F.col(a) * F.col(f"b{b}") for a, b in pairs])).alias("discordant"),
+        F.sum(total([F.col(a) * F.col(b) for a, b in pairs])).alias("tied_y"),
+        F.sum(total([F.col(k) * (F.col(k) - 1) / 2 for k in names])).alias("same"),
+    )
+    n = total([F.col(f"n{k}") for k in names])
+    ranks = [total([F.lit(0.0), *[F.col(f"n{j}") for j in names[:i]]]) + (F.col(f"n{k}") + 1) / 2 for i, k in enumerate(names)]
+    mean = (n + 1) / 2
+    sxy = total([r * F.col(f"r{k}") for r, k in zip(ranks, names)]) - n * mean * mean
+    sxx = total([F.col(f"n{k}") * r * r for r, k in zip(ranks, names)]) - n * mean * mean
+    syy = F.col("vv") - n * mean * mean
+    tied = total([F.col(f"n{k}") * (F.col(f"n{k}") - 1) / 2 for k in names]) - F.col("same")
+    rho = F.when((n >= 2) & (sxx > 1e-9) & (syy > 1e-9), F.try_divide(sxy, F.sqrt(sxx * syy)))
+    return g.select(*by, n.cast("long").alias("n"), rho.alias("rho"), "concordant", "discordant", tied.alias("tied_x"), "tied_y")
+
+
+def score_metrics(rows: DataFrame, by: list[str], level: str, value: str) -> DataFrame:
+    """``(…, n, spearman, kendall, mae, exact, within_one, bias)`` of predictions against levels.
+
+    Rank correlations take the predictions as they are; the others round them to a level from 1 to 5, halves up.
+    """
+    whole = F.floor(F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.col(value))) + 0.5).cast("int")
+    r = rank_statistics(rows, by, level, value)
+    r = r.select(*by, "n", F.col("rho").alias("spearman"), kendall_tau(r).alias("kendall"))
+    a = simple_agreement(cells(rows.where(F.col(level).isin(LEVELS)).withColumn("__p", whole), by, "__p", level), by)
+    return r.join(a.drop("n", "off_by_two"), by)

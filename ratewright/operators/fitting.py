@@ -86,6 +86,47 @@ def fitted_knots(rows: DataFrame, by: list[str], x: str, y: str, levels: list[in
     return blocks.mapInPandas(run, f"{kinds}, knots array<struct<x:double,y:double>>, unreachable array<int>")
 
 
+def supported_knots(rows: DataFrame, by: list[str], x: str, y: str, least: int = 5) -> DataFrame:
+    """``(…, knots)`` of the isotonic fit with knots for those levels only that have ``least`` examples; none if under two have."""
+    levels = [1, 2, 3, 4, 5]
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*by).agg(F.filter(F.array(*[F.when(F.count_if(F.col(y) == v) >= least, F.lit(v)) for v in levels]), lambda v: v.isNotNull()).alias("__enough"))
+    blocks = isotonic(rows, by, x, y).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "fitted", "weight"))).alias("b")).join(counts, by)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[by].copy()
+            got = [knots_from_blocks([(r["x"], r["fitted"], r["weight"]) for r in b], list(enough))[0] if len(enough) > 1 else [] for b, enough in zip(pdf["b"], pdf["__enough"])]
+            out["knots"] = [[{"x": a, "y": float(c)} for a, c in k] for k in got]
+            yield out
+
+    return blocks.mapInPandas(run, f"{kinds}, knots array<struct<x:double,y:double>>")
+
+
+def calibration_warnings(n: int, mode_share: float, mode_value: float, counts: dict[int, int], knots: list[tuple[float, float]], unreachable: list[int], held_out: float | None, unit: str) -> list[str]:
+    """What speaks against a fitted map; a text that begins with STOP forbids its use."""
+    out = []
+    if mode_share > 0.1:
+        out.append(f"{mode_share * 100:.1f}% of images sit on the single value {mode_value:.4f}. A monotone fit cannot separate points that share an x, so that share of the data carries no information however it is labelled.")
+    if n < 30:
+        out.append(f"only {n} images use this map; the knots are weakly anchored")
+    for level in (1, 2, 3, 4, 5):
+        k = counts.get(level, 0)
+        if k < 5:
+            out.append(f"NO example scored {level}, so this map can never output {level}" if k == 0 else f"only {k} example(s) scored {level}, below the 5 needed to anchor a knot")
+    out += [f"the fit never reaches {level}; no knot was invented for it" for level in unreachable]
+    top = knots[-1] if knots else (0.0, 0.0)
+    if top[1] < 4:
+        out.append(f"STOP: top knot is {top[0]:.4f} {unit} scoring {top[1]:.2f}, below the floor of 4. Isotonic maps clamp above the top knot, so every larger input would be capped there no matter how good the photograph is.")
+    if len(knots) < 2:
+        out.append("STOP: the fit collapsed to a single knot, so this map returns one constant for every input. The measurement has no monotone relationship with the labels on this set.")
+    if held_out is not None and held_out < 0.3:
+        out.append(f"STOP: cross-validated Spearman is {held_out:.3f}. The map does not predict the labels on photographs it has not seen, so shipping it would be shipping noise.")
+    if knots and knots[0][1] > 1.5:
+        out.append(f"bottom knot is {knots[0][0]:.3f} {unit} scoring {knots[0][1]:.2f}; anything smaller clamps to that rather than scoring 1")
+    return out
+
+
 def folds_by_rank(clusters: DataFrame, cluster: str, folds: int = 5) -> DataFrame:
     """Fold of each cluster: its position in sorted order, modulo ``folds``."""
     return sorted_positions(clusters, cluster).select(cluster, (F.col("position") % folds).cast("int").alias("fold"))

@@ -62,7 +62,7 @@ def cross_validated(spark: SparkSession, d: str) -> DataFrame:
     train = o.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fold <> held")
     k = I.fitted_knots(train, ["axis", "held"], "x", "level")
     p = o.join(k, (o["axis"] == k["axis"]) & (o["fold"] == k["held"])).select(o["axis"], "level", F.round(apply_knots(F.col("x"), F.col("knots")), 9).alias("p"))
-    return A.spearman(A.cells(p, ["axis"], "level", "p"), ["axis"]).select("axis", F.round("rho", 6).alias("rho"), "n")
+    return A.rank_statistics(p, ["axis"], "level", "p").select("axis", F.round("rho", 6).alias("rho"), "n")
 
 
 def boundary_threshold(spark: SparkSession, d: str) -> DataFrame:

@@ -408,3 +408,42 @@ def test_flags_of_a_distribution(spark):
 def test_mode_takes_the_first_seen(spark):
     df = spark.createDataFrame([("a", 2, 5), ("a", 4, 1), ("a", 2, 9), ("a", 4, 7), ("a", 1, 0)], "g string, v int, at int")
     assert [tuple(r) for r in Y.mode(df, ["g"], "v", "at").collect()] == [("a", 4, 0.4)]
+
+
+def test_rank_statistics_equal_pairs(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.randrange(1, 6), rng.choice([rng.uniform(-3, 3), float(rng.randrange(4))])) for g in "ab" for _ in range(60)] + [("a", None, 1.0), ("a", 3, None), ("c", 2, 1.0), ("c", 2, 5.0)]
+    df = spark.createDataFrame(rows, "g string, level int, v double")
+    got = {r.g: r for r in A.rank_statistics(df, ["g"], "level", "v").collect()}
+    for g in "ab":
+        own = [(x, y) for k, x, y in rows if k == g and x is not None and y is not None]
+        signs = [((a > c) - (a < c), (b > d) - (b < d)) for i, (a, b) in enumerate(own) for c, d in own[:i]]
+        assert got[g].concordant == sum(s * t > 0 for s, t in signs) and got[g].discordant == sum(s * t < 0 for s, t in signs)
+        assert got[g].tied_x == sum(s == 0 != t for s, t in signs) and got[g].tied_y == sum(t == 0 != s for s, t in signs)
+        ranks = [[sum(b < a for b in z) + (z.count(a) + 1) / 2 for a in z] for z in (list(c) for c in zip(*own))]
+        mean = (len(own) + 1) / 2
+        dot = lambda p, q: sum((x - mean) * (y - mean) for x, y in zip(p, q))
+        assert got[g].rho == pytest.approx(dot(*ranks) / math.sqrt(dot(ranks[0], ranks[0]) * dot(ranks[1], ranks[1]))) and got[g].n == len(own)
+    assert got["c"].rho is None and A.rank_statistics(df.limit(0), ["g"], "level", "v").count() == 0
+
+
+def test_score_metrics_by_hand(spark):
+    df = spark.createDataFrame([("a", 1, 0.2), ("a", 2, 2.5), ("a", 4, 4.4), ("a", 5, 2.0), ("a", 9, 3.0)], "g string, level int, p double")
+    r = A.score_metrics(df, ["g"], "level", "p").first()
+    assert (r.n, r.exact, r.within_one, r.mae, r.bias) == (4, 0.5, 0.75, 1.0, -0.5) and r.kendall == pytest.approx(1 / 3)
+
+
+def test_supported_knots(spark):
+    rows = [("a", float(i), 1 + i // 5) for i in range(20)] + [("a", 30.0, 5)] + [("b", float(i), 2) for i in range(9)]
+    got = {r.g: [(k.x, k.y) for k in r.knots] for r in I.supported_knots(spark.createDataFrame(rows, "g string, x double, y int"), ["g"], "x", "y").collect()}
+    assert got == {"a": [(0.0, 1.0), (5.0, 2.0), (10.0, 3.0), (15.0, 4.0)], "b": []}
+
+
+def test_calibration_warnings():
+    quiet = I.calibration_warnings(200, 0.05, 1.0, dict.fromkeys(range(1, 6), 20), [(0.1, 1.0), (0.9, 5.0)], [], 0.6, "px")
+    assert quiet == []
+    loud = I.calibration_warnings(12, 0.25, 3.0, {1: 0, 2: 4, 3: 5, 4: 5, 5: 5}, [(2.0, 3.0)], [4, 5], 0.1, "px")
+    assert loud[0].startswith("25.0% of images sit on the single value 3.0000.") and "NO example scored 1, so this map can never output 1" in loud
+    assert "only 4 example(s) scored 2, below the 5 needed to anchor a knot" in loud and "the fit never reaches 4; no knot was invented for it" in loud
+    assert [t.split(" is ")[0].split(" the fit")[0] for t in loud if t.startswith("STOP")] == ["STOP: top knot", "STOP:", "STOP: cross-validated Spearman"]
+    assert loud[-1].startswith("bottom knot is 2.000 px scoring 3.00")
