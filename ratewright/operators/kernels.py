@@ -94,7 +94,7 @@ def suppress_overlaps(boxes: DataFrame, image: str, threshold: float) -> DataFra
     kind = boxes.schema[image].dataType.simpleString()
 
     def run(pdf):
-        p = pdf.sort_values(["score", "ordinal"], ascending=[False, True])
+        p = pdf.sort_values(["score", "ordinal", "x", "y", "w", "h"], ascending=[False, True, True, True, True, True])
         x, y, w, h = (p[c].to_numpy(float) for c in "xywh")
         keep: list[int] = []
         for i in range(len(p)):

@@ -206,6 +206,15 @@ def top_fixes(context: str = DEFAULT_CONTEXT, most: int = MOST_FIXES, messages:
     return F.transform(F.slice(F.array_sort(found), 1, most), lambda s: F.struct(*[s[k].alias(k) for k in keep]))
 
 
+def first_advice(context: str = DEFAULT_CONTEXT) -> Column:
+    """The message of the axis with most to gain, worded for that axis only; null if nothing can be gained."""
+    axis = F.try_element_at(top_fixes(context, most=1, messages=False), F.lit(1))["axis"]
+    out = None
+    for a in AXES:
+        out = F.when(axis == a, advice(a)) if out is None else out.when(axis == a, advice(a))
+    return out
+
+
 def axis_breakdown(rows: DataFrame, key: str, context: str = DEFAULT_CONTEXT) -> DataFrame:
     """One row a present axis: level, weight, contribution and headroom on the composite's scale (four decimals)."""
     each = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("axis"), F.col(a).alias("level"), F.lit(w).alias("weight")) for n, (a, w) in enumerate(zip(AXES, WEIGHTS[context]))])

@@ -127,7 +127,25 @@ _OBS = f"""{P._LEVELS}, cl as ({D.SQL['clusters_from_creators'].replace('with r
 sx as ({' union all '.join(f"select sha256, '{a}' as axis, round({c}, 9) as x from axes where ev = 'v8' and {c} is not null" for a, c in (('sharpness', 'sharp_raw'), ('lighting', 'lighting_raw'), ('resolution', 'edge'), ('framing', 'framing_raw')))}),
 ob as (select h.axis, h.image_id, cluster, x, human as level from im join sx using (sha256) join hum h on h.axis = sx.axis and h.image_id = im.image_id join cl on cl.image_id = h.image_id)"""
 
+_CL = f"cl as ({D.SQL['clusters_from_creators'].replace('with r as', 'with rr as').replace('from r', 'from rr')})"
+
+
+def _greedy(sizes: str, bins: int, name: str, part: str) -> str:
+    """Clusters of ``sizes (part, cluster, n)`` from the largest, each to the bin that holds least: one recursive step a cluster."""
+    return f"""{name}_o as (select *, row_number() over (partition by {part} order by n desc, cluster) as k from {sizes}),
+{name} as (select {part}, 0::bigint as k, null::varchar as cluster, null::int as fold, [{', '.join(['0::bigint'] * bins)}] as loads from (select distinct {part} from {sizes})
+  union all select o.{part}, o.k, o.cluster, list_position(g.loads, list_min(g.loads))::int - 1, [case when i = list_position(g.loads, list_min(g.loads)) then g.loads[i] + o.n else g.loads[i] end for i in range(1, {bins + 1})]
+  from {name} g join {name}_o o on o.{part} = g.{part} and o.k = g.k + 1)"""
+
+
 SQL = {
+    "group_folds": f"with recursive {_CL}, z as (select 0 as part, cluster, count(*) as n from cl group by cluster), {_greedy('z', 5, 'g', 'part')} select cluster, fold from g where k > 0",
+    "nested_folds": f"""with recursive {_CL}, z as (select 0 as part, cluster, count(*) as n from cl group by cluster), {_greedy('z', 3, 'g', 'part')}, y as (select q.part, z.cluster, n from z join g on g.cluster = z.cluster join (select unnest([0, 1, 2]) as part) q on g.fold <> q.part),
+      {_greedy('y', 2, 'h', 'part')} select part::int as outer, fold as inner, cluster from h where k > 0""".replace("as outer", 'as "outer"').replace("as inner", 'as "inner"'),
+    "split_by_cluster": f"""with recursive {_CL}, z as (select cluster, count(*) as n from cl group by cluster), o as (select *, row_number() over (order by n desc, cluster) as k, sum(n) over () as total from z),
+      g as (select 0::bigint as k, null::varchar as cluster, null::varchar as side, 0::hugeint as a, 0::hugeint as b union all select o.k, o.cluster, case when (total * 0.8::double - g.a) / (total * 0.8::double) >= (total * (1 - 0.8::double) - g.b) / (total * (1 - 0.8::double)) then 'train' else 'test' end,
+        case when (total * 0.8::double - g.a) / (total * 0.8::double) >= (total * (1 - 0.8::double) - g.b) / (total * (1 - 0.8::double)) then g.a + n else g.a end, case when (total * 0.8::double - g.a) / (total * 0.8::double) >= (total * (1 - 0.8::double) - g.b) / (total * (1 - 0.8::double)) then g.b else g.b + n end from g join o on o.k = g.k + 1)
+      select image_id, cluster, side from cl join g using (cluster)""",
     "isotonic_fitted": f"""with {_OBS}, g as (select x, avg(level) as y, count(*) as w from ob where axis = 'resolution' group by 1), c as (select x, sum(w) over (order by x) as cw, sum(w * y) over (order by x) as cs, w, y from g),
       m as (select a.x as lo, b.x as hi, (b.cs - a.cs + a.w * a.y) / (b.cw - a.cw + a.w) as mean from c a join c b on a.x <= b.x),
       s as (select p.x, m.lo, min(m.mean) as least from g p join m on m.lo <= p.x and m.hi >= p.x group by 1, 2) select x, round(max(least), 6) as fitted from s group by 1""",

@@ -74,8 +74,16 @@ def validate_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("sha256", F.col("extractorVersion").alias("version"), F.col("fault").isNull().alias("usable"), F.col("fault.field").alias("field"), F.col("fault.reason").alias("reason"))
 
 
+#: What is done to vectors whose sha256 begins with a digit, so that each kind of fault occurs.
+DAMAGE = {"0": ("exposureMean", "300.0"), "1": ("width", "null"), "2": ("height", "10.5"), "3": ("clippedShadows", "-1.0"), "4": ("sourceFormat", "''"), "5": ("sharpnessEyeRegion", "null"), "6": ("isGrayscale", "null"), "7": ("yaw", "181.0")}
+
+
 def rejects_by_reason(spark: SparkSession, d: str) -> DataFrame:
-    return validate_vectors(spark, d).where("not usable").groupBy("field", "reason").agg(F.count("*").alias("n"))
+    """Faults of vectors of which some are damaged on purpose, by field and reason."""
+    v = vectors(spark, d)
+    v = v.withColumns({c: F.when(F.col("sha256").startswith(k), F.expr(x)).otherwise(F.col(c)) for k, (c, x) in DAMAGE.items()})
+    faults = v.select(S.first_violation().alias("f")).where("f is not null")
+    return faults.groupBy("f.field", "f.reason").agg(F.count("*").alias("n"))
 
 
 def dimension_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +170,7 @@ def weakest_axes(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Scored vectors with composite, confidence and the first piece of advice, best first."""
     rows = scored(spark, d)
-    return rows.select("sha256", S.composite(S.DEFAULT_CONTEXT).alias("score"), S.confidence().alias("confidence"), F.try_element_at(S.top_fixes(most=1), F.lit(1))["message"].alias("advice")).orderBy(F.desc("score"), "sha256")
+    return rows.select("sha256", S.composite(S.DEFAULT_CONTEXT).alias("score"), S.confidence().alias("confidence"), S.first_advice().alias("advice")).orderBy(F.desc("score"), "sha256")
 
 
 def clip_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -190,9 +198,35 @@ _FAULTS.append(("eyeRegionMeasured <> (sharpnessEyeRegion is not null)", "eyeReg
 _FIELD = "case " + " ".join(f"when {c} then '{f}'" for c, f, _ in _FAULTS) + " end"
 _REASON = "case " + " ".join(f"when {c} then '{r}'" for c, _, r in _FAULTS) + " end"
 
+_TENTH = lambda v: f"round(cast(({v})::varchar as decimal(38, 25)), 1)::decimal(18, 1)::varchar"  # noqa: E731  (halves up, as written)
+_PCT = lambda v: f"case when ({v}) * 100 > 0 and ({v}) * 100 < 1 then {_TENTH(f'({v}) * 100')} || '%' else floor(({v}) * 100 + 0.5)::bigint || '%' end"
+_RATIO_IS, _OFF_IS = "faceAreaRatio", f"({_OFF})"
+_ADVICE = f"""case axis when 'background' then 'Move to a plain wall, or step further from what is behind you so it falls out of focus.'
+  when 'attire' then 'Dress one level more formally than this for the audience you picked.'
+  when 'expression' then 'Look straight into the lens and let your expression settle before the shutter fires.'
+  when 'solo' then 'Crop to one subject - a second person in frame makes it unclear who the photo is of.'
+  when 'framing' then case when ({_RATIO_IS} is null or {_OFF_IS} is null) and faceCount = 0 then 'Reframe so your face is clearly visible - no face was detected in this photo.'
+    when {_RATIO_IS} is null or {_OFF_IS} is null then 'Move closer or crop tighter - the faces in this photo are too small to measure framing from.'
+    when {_RATIO_IS} < {_D(S.RATIO_BAND[0])} then 'Recrop to head-and-shoulders - your face fills ' || {_PCT(_RATIO_IS)} || ' of the frame, aim for 13%-24%.'
+    when {_RATIO_IS} > {_D(S.RATIO_BAND[1])} then 'Step back or crop wider - your face fills ' || {_PCT(_RATIO_IS)} || ' of the frame, aim for 13%-24%.'
+    else 'Recentre the crop - your face sits ' || {_PCT(_OFF_IS)} || ' of the frame off centre, keep it under 15%.' end
+  when 'sharpness' then case when jpegQualityEstimate < 50 then 'Re-export at higher quality - compression artifacts are visible, which also makes the focus hard to judge.'
+    when eyeRegionMeasured then 'Refocus on the eyes and hold the camera steadier - the eye region is softer than the rest of the frame.' else 'Refocus and steady the camera - tap to focus before the shutter fires, and use a faster shutter speed.' end
+  when 'lighting' then case when clippedHighlights + clippedShadows > {_D(S.CLIP_FULL)} and clippedHighlights >= clippedShadows then 'Reduce the exposure - ' || {_PCT('clippedHighlights')} || ' of the frame is blown to pure white and cannot be recovered.'
+    when clippedHighlights + clippedShadows > {_D(S.CLIP_FULL)} then 'Add light on your face - ' || {_PCT('clippedShadows')} || ' of the frame is crushed to pure black.'
+    when exposureMean < {_D(S.EXPOSURE_BAND[0])} then 'Face a window or add a light in front of you - the photo is underexposed.'
+    when exposureMean > {_D(S.EXPOSURE_BAND[1])} then 'Move out of direct sun or reduce the exposure - the photo is overexposed.' else 'Shoot facing a window - the light is flat, so the photo has little tonal range.' end
+  else 'Reshoot at full resolution - this image is ' || width::bigint || 'x' || height::bigint || ' (' || {_TENTH('width * height / 1e6')} || 'MP), which leaves nothing to crop from.' end"""
+_FIXES = f"""e as ({_EACH}), h as (select *, (5.0::double - level) * w * 2.25::double as headroom from e), r as (select *, row_number() over (partition by sha256 order by headroom desc, n) as place from h where headroom > 0)"""
+_CONFIDENCE = f"""floor(least(1.0::double, greatest(0.0::double, 1.0::double - case when faceCount = 0 then 0.45::double when faceCount > 1 then 0.25::double else 0.0 end
+      - case when abs(yaw) > 35 then 0.2::double when abs(yaw) > 20 then 0.1::double else 0.0 end - case when jpegQualityEstimate < 50 then 0.15::double else 0.0 end - case when {_OFF} > 0.35 then 0.1::double else 0.0 end
+      - case when solo is not null and (faceCount <= 1) <> (solo >= 4) then 0.2::double else 0.0 end)) * 100.0::double + 0.5) / 100.0::double"""
+
 SQL = {
+    "advice": f"with {SCORED_SQL}, {_FIXES} select r.sha256, axis, case when headroom >= 0.9 then 'high' when headroom >= 0.35 then 'medium' else 'low' end as severity, {_ADVICE} as message from r join lv using (sha256) where place <= 3",
+    "flagship": f"with {SCORED_SQL}, {_FIXES}, b as (select * from r where place = 1) select lv.sha256, {_composite_sql('corporate')} as score, {_CONFIDENCE} as confidence, case when axis is not null then {_ADVICE} end as advice from lv left join b using (sha256)",
     "validate_vectors": f"with {VECTORS_SQL} select sha256, ev as version, ({_FIELD}) is null as usable, {_FIELD} as field, {_REASON} as reason from v",
-    "rejects_by_reason": f"with {VECTORS_SQL} select field, reason, count(*) as n from (select {_FIELD} as field, {_REASON} as reason from v) where field is not null group by 1, 2",
+    "rejects_by_reason": f"with {VECTORS_SQL}, w as (select * replace ({', '.join(f"case when starts_with(sha256, '{k}') then {x} else {c} end as {c}" for k, (c, x) in DAMAGE.items())}) from v) select field, reason, count(*) as n from (select {_FIELD} as field, {_REASON} as reason from w) where field is not null group by 1, 2",
     "dimension_checks": f"with {VECTORS_SQL} select ev as extractorVersion, count(*) filter (least(width, height) < 200) as below_floor, count(*) filter (greatest(width, height) > least(width, height) * 3) as extreme_aspect, count(*) as n from v group by 1",
     "computed_axes": f"with {AXES_SQL} select sha256, ev as version, round(sharpness, 6) as sharpness, round(lighting, 6) as lighting, round(resolution, 6) as resolution, round(framing, 6) as framing from axes",
     "scalars": f"with {AXES_SQL} select sha256, ev as version, basis, round(framing_raw, 6) as framing_raw, round(lighting_raw, 6) as lighting_raw, edge, round({_OFF}, 6) as face_offset from axes",

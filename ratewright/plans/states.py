@@ -95,7 +95,13 @@ _PIX = """px as (select vec_id, unnest(range(64)) as i, unnest(embedding) as e f
 g as (select vec_id, i, i // 8 as y, i % 8 as x, least(255.0::double, greatest(0.0::double, floor(e::double * 400 + 128))) as v from px)"""
 _BOX = "b as (select l_orderkey, l_linenumber as ordinal, l_partkey % 50 / 100.0::double as x, l_suppkey % 50 / 100.0::double as y, l_quantity / 100 as w, 0.1::double + l_discount as h from lineitem)"
 
+_IOU = "greatest(0, least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x)) * greatest(0, least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y))"
+
 SQL = {
+    "suppressed_boxes": f"""with recursive {_BOX.replace(' from lineitem', ', l_extendedprice as score from lineitem')}, o as (select *, row_number() over (partition by l_orderkey order by score desc, ordinal, x, y, w, h) as r from b),
+      g as (select *, true as kept, [{{'x': x, 'y': y, 'w': w, 'h': h}}] as ks from o where r = 1 union all
+        select l_orderkey, ordinal, x, y, w, h, score, r, free, case when free then list_append(ks, {{'x': x, 'y': y, 'w': w, 'h': h}}) else ks end from (select o.*, g.ks, len([1 for k in g.ks if {_IOU} > 0.3::double * (o.w * o.h + k.w * k.h - {_IOU})]) = 0 as free from g join o on o.l_orderkey = g.l_orderkey and o.r = g.r + 1))
+      select l_orderkey, ordinal, score from g where kept""",
     "rate_limit_decisions": f"with {_chain(SECONDS)} select event_id, place <= {LIMIT} as allowed, case when place > {LIMIT} then greatest(1, ceil((epoch_us(opened) + {int(SECONDS * 1e6)} - epoch_us(ts)) / 1e6)::bigint) else 0 end as retry_after from r",
     "lease_claims": f"with {_chain(120)} select event_id, user_id from r where place = 1",
     "event_sessions": "with g as (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minutes, true) as n from events) select user_id, count(*) filter (n) as sessions, count(*) as events from g group by 1",

@@ -104,7 +104,11 @@ f as (select *, regexp_replace(trim(text, E' '), '^```(?:json)?\\s*|\\s*```$', '
 w as (select *, case when starts_with(ltrim(text, ' '), '{') and json_valid(text) then 'plain' when contains(text, '```') and starts_with(ltrim(fenced, ' '), '{') and json_valid(fenced) then 'fenced' when json_valid(sliced) then 'sliced' end as way from f),
 j as (select doc_id, way, case way when 'plain' then text when 'fenced' then fenced when 'sliced' then sliced end as js from w where way is not null)"""
 
+_PADS = ["".join(f"\\x{b ^ k:02X}" for b in b"local-key".ljust(64, b"\0")) for k in (0x36, 0x5C)]
+
 SQL = {
+    "keyed_hashes": f"select sha256('{_PADS[1]}'::blob || unhex(sha256('{_PADS[0]}'::blob || encode('ip:' || user_id)))) as subject, count(*) as n from events group by 1",
+    "vector_texts": "select vec_id, md5('[' || array_to_string([round(x * 1000::float)::int for x in embedding], ',') || ']') as digest, len(embedding) as width from embeddings",
     "reply_parse": f"with {_REPLY} select doc_id, way, json_extract_string(js, '$.status') as status from j",
     "reply_scores": f"with {_REPLY}, s as (select doc_id, unnest(map_entries(from_json(json_extract(js, '$.scores'), '\"MAP(VARCHAR, INTEGER)\"'))) as e from j) select doc_id, e.key as axis, e.value as score from s where e.value between 1 and 5",
     "trait_filter": f"select source, count(*) filter (regexp_matches(text, '(?i)\\b(?:{'|'.join(T.TRAIT_WORDS)})\\b')) as rejected, count(*) as n from (select distinct doc_id, source, text from documents) group by 1",
