@@ -66,13 +66,19 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+def written(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder, to be deleted by ``release`` or when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/ratewright-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage: write to the shared folder and read back. Lost executors then cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/ratewright-{name}-{uuid.uuid4().hex}"
+    path = written(spark, name)
     with tidy(spark):
         df.write.parquet(path)
-    _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._ratewright_path = path
     return out

@@ -36,9 +36,8 @@ def reply_json(text: Column) -> tuple[Column, Column]:
     return found, way
 
 
-def label_problem(line: Column) -> Column:
-    """Why a JSON line isn't a label record, the first reason that holds; null for a record."""
-    v = strict_json(line)
+def label_problem(line: Column, v: Column) -> Column:
+    """Why a JSON line with the value ``v`` (see ``strict_json``) isn't a label record, the first reason that holds; null for a record."""
     kind = F.schema_of_variant(v)
     axes = F.try_variant_get(v, "$.axes", "map<string,variant>")
     good = F.try_variant_get(v, "$.axes", "map<string,double>")
@@ -55,8 +54,10 @@ def label_problem(line: Column) -> Column:
 
 def label_lines(lines: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
     """``(records, problems)`` of JSON lines: id, cluster, rater, axes as a map; every other non-blank line with its reason."""
-    rows = lines.where(F.trim(line) != "").withColumn("__why", label_problem(F.col(line)))
-    v = F.try_parse_json(F.col(line))
+    # inline, not a plain projection: each line is parsed once, as no filter is pushed below it.
+    parsed = lines.where(F.trim(line) != "").select("*", F.inline(F.array(F.struct(strict_json(F.col(line)).alias("__v")))))
+    v = F.col("__v")
+    rows = parsed.select("*", label_problem(F.col(line), v).alias("__why"))
     text = lambda p: F.nullif(F.try_variant_get(v, p, "string"), F.lit(""))
     good = rows.where("__why is null").select(*[c for c in lines.columns if c != line], text("$.id").alias("id"), text("$.clusterId").alias("cluster"), text("$.rater").alias("rater"), F.try_variant_get(v, "$.axes", "map<string,double>").alias("axes"))
     return good, rows.where("__why is not null").select(*lines.columns, F.col("__why").alias("reason"))

@@ -33,8 +33,9 @@ def stream_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Hours that the watermark has closed when the stream is drained; the last ones stay open."""
     s = W.windowed_counts(W.read_stream(spark, f"{d}/events.parquet"), "ts", "event_type", "value")
-    return W.run_to_end(s, "hourly", "complete").select("started", "event_type", "n", F.round("total", 4).alias("total"))
+    return W.run_to_end(s, "hourly").select("started", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_distinct_users(spark: SparkSession, d: str) -> DataFrame:
@@ -100,13 +101,13 @@ _IOU = "greatest(0, least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x)) * greatest
 SQL = {
     "suppressed_boxes": f"""with recursive {_BOX.replace(' from lineitem', ', l_extendedprice as score from lineitem')}, o as (select *, row_number() over (partition by l_orderkey order by score desc, ordinal, x, y, w, h) as r from b),
       g as (select *, true as kept, [{{'x': x, 'y': y, 'w': w, 'h': h}}] as ks from o where r = 1 union all
-        select l_orderkey, ordinal, x, y, w, h, score, r, free, case when free then list_append(ks, {{'x': x, 'y': y, 'w': w, 'h': h}}) else ks end from (select o.*, g.ks, len([1 for k in g.ks if {_IOU} > 0.3::double * (o.w * o.h + k.w * k.h - {_IOU})]) = 0 as free from g join o on o.l_orderkey = g.l_orderkey and o.r = g.r + 1))
+        select l_orderkey, ordinal, x, y, w, h, score, r, free, case when free then list_append(ks, {{'x': x, 'y': y, 'w': w, 'h': h}}) else ks end from (select o.*, g.ks, len([1 for k in g.ks if {_IOU} / (o.w * o.h + k.w * k.h - {_IOU}) > 0.3::double]) = 0 as free from g join o on o.l_orderkey = g.l_orderkey and o.r = g.r + 1))
       select l_orderkey, ordinal, score from g where kept""",
     "rate_limit_decisions": f"with {_chain(SECONDS)} select event_id, place <= {LIMIT} as allowed, case when place > {LIMIT} then greatest(1, ceil((epoch_us(opened) + {int(SECONDS * 1e6)} - epoch_us(ts)) / 1e6)::bigint) else 0 end as retry_after from r",
     "lease_claims": f"with {_chain(120)} select event_id, user_id from r where place = 1",
     "event_sessions": "with g as (select user_id, ts, coalesce(ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minutes, true) as n from events) select user_id, count(*) filter (n) as sessions, count(*) as events from g group by 1",
     "stream_limits": f"with {_chain(SECONDS)} select event_id, place <= {LIMIT} as allowed from r",
-    "stream_hourly_counts": "select date_trunc('hour', ts) as started, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "stream_hourly_counts": "select date_trunc('hour', ts) as started, event_type, count(*) as n, round(sum(value), 4) as total from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minutes from events) group by 1, 2",
     "stream_distinct_users": "select user_id, count(*) as events from events group by 1",
     "plane_measures": f"""with {_PIX}, l as (select a.vec_id, u.v + dn.v + lf.v + rt.v - 4 * a.v as r from g a join g u on u.vec_id = a.vec_id and u.x = a.x and u.y = a.y - 1 join g dn on dn.vec_id = a.vec_id and dn.x = a.x and dn.y = a.y + 1
       join g lf on lf.vec_id = a.vec_id and lf.y = a.y and lf.x = a.x - 1 join g rt on rt.vec_id = a.vec_id and rt.y = a.y and rt.x = a.x + 1), s as (select vec_id, greatest(0, avg(r * r) - avg(r) * avg(r)) as sharpness from l group by 1),

@@ -29,16 +29,23 @@ def read_label_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
-    """Full rewrite: written beside the target, then moved in its place, so readers see the old or the new table."""
+    """Full rewrite: written beside the target, which is then moved aside and, once the new table stands in its place,
+    deleted. A failure leaves the old table; between the two moves a reader may for a moment find none.
+    """
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
     fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     rows.write.json(fresh.toString())
-    fs.delete(target, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")
+    held = fs.exists(target) and fs.rename(target, aside)
     if not fs.rename(fresh, target):
+        if held:
+            fs.rename(aside, target)
         raise OSError(f"cannot move {fresh} to {target}")
+    if held:
+        fs.delete(aside, True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True) -> DataFrame:
