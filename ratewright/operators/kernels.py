@@ -67,13 +67,27 @@ def neighbour_hash(plane: Column, width: int = 9, height: int = 8) -> Column:
     return F.when(F.size(plane) == width * height, bits)
 
 
-def crop(p: np.ndarray, x: float, y: float, w: float, h: float, inset: float = 0.0) -> np.ndarray:
-    """The part of planes ``(n, height, width)`` under a box in shares of the frame, less ``inset`` of it on each side, one pixel at least."""
+def crop(p: np.ndarray, x: float, y: float, w: float, h: float) -> np.ndarray | None:
+    """The part of planes ``(n, height, width)`` under a box in pixels, to whole pixels outwards; null if it meets none."""
     height, width = p.shape[1:]
-    left, top, right, bottom = x + w * inset, y + h * inset, x + w * (1 - inset), y + h * (1 - inset)
-    x0, y0 = min(max(int(np.floor(left * width)), 0), width - 1), min(max(int(np.floor(top * height)), 0), height - 1)
-    x1, y1 = min(max(int(np.ceil(right * width)), x0 + 1), width), min(max(int(np.ceil(bottom * height)), y0 + 1), height)
-    return p[:, y0:y1, x0:x1]
+    x0, y0, x1, y1 = max(0, int(np.floor(x))), max(0, int(np.floor(y))), min(width, int(np.ceil(x + w))), min(height, int(np.ceil(y + h)))
+    return p[:, y0:y1, x0:x1] if x1 > x0 and y1 > y0 else None
+
+
+def face_light(p: np.ndarray, box: tuple[float, float, float, float] | None) -> tuple[dict[str, np.ndarray], bool]:
+    """Light on the face, or on the frame's central third if there is no box, and whether a face was measured.
+
+    A box that meets no pixel of the plane falls back to the whole plane.
+    """
+    height, width = p.shape[1:]
+    part = crop(p, *(box or (width / 3, height / 3, width / 3, height / 3)))
+    return light(p if part is None else part), box is not None
+
+
+def eye_sharpness(p: np.ndarray, region: tuple[float, float, float, float] | None) -> np.ndarray | None:
+    """Sharpness of the eye region; null without a face or where fewer than three pixels are left either way."""
+    part = None if region is None else crop(p, *region)
+    return None if part is None or min(part.shape[1:]) < 3 else laplacian_variance(part)
 
 
 def primary_box(boxes: DataFrame, image: str, tie: float = 0.05) -> DataFrame:

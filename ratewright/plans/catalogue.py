@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratewright.plans import agreement, datasets, fits, manifest, measures, reports, states, texts
+from ratewright.plans import agreement, checks, datasets, fits, manifest, measures, reports, states, texts
 
-MODULES = [measures, agreement, datasets, fits, reports, texts, states, manifest]
+MODULES = [measures, agreement, datasets, fits, reports, texts, states, manifest, checks]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ratewright import common
-from ratewright.functions import bits
+from ratewright.functions import bits, faces
 from ratewright.functions import numeric as N
 from ratewright.functions import text as T
 from ratewright.operators import agreement as A
@@ -18,7 +18,7 @@ from ratewright.operators import kernels as K
 from ratewright.operators import scoring as S
 from ratewright.operators import state as St
 from ratewright.operators import summary as Y
-from ratewright.plans import fits
+from ratewright.plans import checks, fits, reports
 from ratewright.sources import manifest_lines as L
 
 UNITS = ["-1-", "---", "-22", "-11", "-33", "334", "444", "13-", "2-2", "1-1", "1-1", "3-3", "3-3", "---", "3-4"]
@@ -395,7 +395,10 @@ def test_difference_hash_and_small_planes(spark):
     assert got[0] & (2**64 - 1) == want and got[1:] == [None, None]
     steps = K.np.tile(K.np.repeat([0.0, 50.0, 0.0, 50.0], 8), (1, 32, 1))
     assert K.block_quality(steps)[0] == 0 and K.block_quality(steps[:, :15])[0] == 100 and K.block_quality(steps[:, :, :15])[0] == 100
-    assert K.crop(K.np.arange(100.0).reshape(1, 10, 10), 0.2, 0.4, 0.3, 0.1).tolist() == [[[42.0, 43.0, 44.0]]]
+    grid = K.np.arange(100.0).reshape(1, 10, 10)
+    assert K.crop(grid, 2.2, 4.0, 2.1, 1.0).tolist() == [[[42.0, 43.0, 44.0]]] and K.crop(grid, -5, 0, 4, 4) is None and K.crop(grid, -1, 9.5, 2, 9).tolist() == [[[90.0]]]
+    assert K.face_light(grid, None)[1] is False and K.face_light(grid, (0, 0, 1, 1))[0]["mean"].tolist() == [0.0]
+    assert K.eye_sharpness(grid, None) is None and K.eye_sharpness(grid, (0, 0, 2, 9)) is None and K.eye_sharpness(grid, (0, 0, 5, 5)).tolist() == [0.0]
 
 
 def test_flags_of_a_distribution(spark):
@@ -447,3 +450,46 @@ def test_calibration_warnings():
     assert "only 4 example(s) scored 2, below the 5 needed to anchor a knot" in loud and "the fit never reaches 4; no knot was invented for it" in loud
     assert [t.split(" is ")[0].split(" the fit")[0] for t in loud if t.startswith("STOP")] == ["STOP: top knot", "STOP:", "STOP: cross-validated Spearman"]
     assert loud[-1].startswith("bottom knot is 2.000 px scoring 3.00")
+
+
+def test_faces_by_hand(spark):
+    c = lambda *v: [F.lit(float(x)) if x is not None else F.lit(None).cast("double") for x in v]
+    r = spark.range(1).select(
+        faces.roll(*c(0, 0, 10, 10)).alias("roll"), faces.yaw(*c(0, 0, 10, 0, 7.5, 9)).alias("yaw"), faces.yaw(*c(0, 0, 10, 0, 99, 0)).alias("far"),
+        faces.eye_region(*c(1, 2, 30, 40), *c(10, 20, 30, 20)).alias("eyes"), faces.eye_region(*c(1, 2, 30, 40), *c(10, None, 30, 20)).alias("band"),
+        faces.framing(*c(10, 20, 20, 30, 100, 100)).alias("f"), faces.framing(*c(None, None, None, None, 100, 100)).alias("none"), faces.central_third(*c(90, 60)).alias("third"),
+        faces.qualifies(*c(5, 5, 0.5, 100, 100)).alias("yes"), faces.qualifies(*c(4.9, 5, 0.9, 100, 100)).alias("small"),
+        faces.decoded_boxes(F.lit([-1.0, 2.0, 3.0, 4.0, 1.5, 0.0, 0.0, 0.0, 9.0, 0.9, 0.0, 0.0, 9.0, 9.0, 0.1, 7.0]), 2.0, 1.0, 0.3).alias("b"), faces.decoded_boxes(F.lit([]).cast("array<double>"), 1.0, 1.0, 0.0).alias("empty"),
+    ).first()
+    assert r.roll == pytest.approx(45) and r.yaw == pytest.approx(17.5) and r.far == 90
+    assert tuple(r.eyes) == pytest.approx((1, 11, 38, 18)) and tuple(r.band) == pytest.approx((1, 10.8, 30, 12))
+    assert tuple(r.f) == pytest.approx((0.06, -0.3, -0.15)) and tuple(r.none) == (0, 0, 0) and tuple(r.third) == (30, 20, 30, 20)
+    assert r.yes and not r.small and [tuple(b) for b in r.b] == [(0.0, 2.0, 6.0, 4.0, 1.0)] and r.empty == []
+
+
+def test_label_csv(spark):
+    lines = spark.createDataFrame([('a,"b,""c""",3',), ("a,b,",), ("a,b,x",), ("a,b",), ("a,b,NaN",)], "l string")
+    got = [tuple(r) for r in checks.label_csv(lines, "l", ["filename", "axis", "score"]).collect()]
+    assert got == [("a", 'b,"c"', 3.0, None), ("a", "b", 0.0, None), ("a", "b", None, "non-numeric score"), ("a", "b", None, "2 fields; expected 3"), ("a", "b", None, "non-numeric score")]
+    with pytest.raises(ValueError, match="found a, b"):
+        checks.label_csv(lines, "l", ["a", "b"])
+
+
+def test_reply_union(spark):
+    texts = ['{"status":"assessed","scores":{"solo":3}}', '{"status":"assessed"}', '{"status":"declined","reason":"no_face"}', '{"status":"declined"}', '{"status":"assessed","scores":{},"reason":"x"}', '{"status":"maybe"}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("v"))
+    loose, strict = ([tuple(r.u) for r in df.select(checks.reply_union(F.col("v"), s).alias("u")).collect()] for s in (False, True))
+    assert loose[0] == ("assessed", None, None, None) and loose[1][3] == "assessed without scores" and loose[2] == ("declined", "no_face", "", None)
+    assert loose[3][3] == "declined without a reason" and loose[4][3] is None and strict[4][3] == "parts of both kinds" and loose[5][3] == "unknown status"
+
+
+def test_duplicate_groups_and_candidates(spark, tmp_path):
+    import datetime as dt
+
+    t = dt.datetime(2026, 1, 1)
+    cols = "image_id string, sha256 string, perceptual_hash string, source string, cohort string, source_group string, creator_group string, dataset_role string, split_group string, duplicate_of string, feature_status string, vlm_status string, eligibility_reason string, extractor_version string, eligible_for_product_scoring boolean, ingested_at timestamp, creator string, width long, height long"
+    row = lambda i, sha, h, sg=None, cg=None, role="development": (i, sha, h, "s", "c", sg, cg, role, None, None, "ready", "x", None, "v8", True, t, None, 1, 1)
+    rows = [row("a", "1", "0" * 16), row("b", "2", "0" * 15 + "f", "G"), row("c", "3", None, " g "), row("d", "3", "f" * 16, role="validation"), row("e", "5", "00ff" * 4), row("e", "5", "00FF" * 4), row(None, "1", None)]
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/dataset_image.parquet")
+    got = {r.image_id: tuple(r)[1:] for r in reports.duplicate_groups(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("a", None, 2, True), "b": ("a", None, 2, True), "c": ("a", None, 2, True), "d": ("a", "c", 2, True), "e": ("e", None, 1, False)}
