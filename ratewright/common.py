@@ -132,8 +132,9 @@ def sorted_positions(rows: DataFrame, column: str) -> DataFrame:
     """``(column, position)`` of distinct non-null values in sorted order, from 0.
 
     Values are range partitioned and numbered within their partition; the partitions' counts, one row each, give the
-    offsets. No task sorts or counts more than its range.
+    offsets. No task sorts or counts more than its range. ``release`` deletes what is held.
     """
+    import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -143,7 +144,7 @@ def sorted_positions(rows: DataFrame, column: str) -> DataFrame:
     def number(batches):
         at, part = 0, TaskContext.get().partitionId()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], names=["v", "part", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * b.num_rows, pa.int32()), pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))], names=["v", "part", "own"])
             at += b.num_rows
 
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
@@ -153,4 +154,6 @@ def sorted_positions(rows: DataFrame, column: str) -> DataFrame:
         starts.append((r[0], total))
         total += r[1]
     offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))  # as many rows as partitions
-    return held.join(offsets, "part").select(F.col("v").alias(column), (F.col("start") + F.col("own")).alias("position"))
+    out = held.join(offsets, "part").select(F.col("v").alias(column), (F.col("start") + F.col("own")).alias("position"))
+    out._ratewright_path = held._ratewright_path
+    return out
