@@ -30,7 +30,9 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     named = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(low, high).distinct(), "links")
     ends = named.select(F.explode(F.array("low", "high")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     # Vertices go by their position in sorted order: the least position is the least vertex, and longs aggregate by hash.
-    names = materialize(sorted_positions(ends, "v").join(ends, "v"), "names")
+    positions = sorted_positions(ends, "v")
+    names = materialize(positions.join(ends, "v"), "names")
+    release(positions)
     state = _positions(named, names)
     release(named)
     for _ in range(MAX_ROUNDS):
@@ -57,7 +59,10 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     found = names.select("v", F.col("position").alias("vertex")).join(star, "vertex").select(F.col("v").alias("vertex"), "root")
     held = star.groupBy("root").agg(F.count("*").alias("c"))
     roots = materialize(held.join(names.select(F.col("position").alias("root"), F.col("v").alias("name")), "root"), "roots")
-    return attach(found, roots, "root", "c", names.count()).select("vertex", F.col("name").alias("root"))
+    out = materialize(attach(found, roots, "root", "c", names.count()).select("vertex", F.col("name").alias("root")), "components")
+    for step in (names, roots, state):
+        release(step)
+    return out
 
 
 def _positions(named: DataFrame, names: DataFrame) -> DataFrame:

@@ -47,7 +47,9 @@ def parted_sets(images: DataFrame, relations: list[str] = RELATIONS) -> DataFram
     held = sets.join(roles, "image_id").groupBy("set_id").agg(F.min("role").alias("lo"), F.max("role").alias("hi"))
     size = sets.groupBy("set_id").agg(F.count("*").alias("n"))
     mixed = held.where("lo <> hi").join(size, "set_id").select("set_id", "n")
-    return attach(sets, mixed, "set_id", "n", sets.count()).select("image_id", "set_id")
+    out = materialize(attach(sets, mixed, "set_id", "n", sets.count()).select("image_id", "set_id"), "parted")
+    release(sets)
+    return out
 
 
 def differencing(weights: list[tuple[int, object]], bins: int) -> list[list[object]]:
@@ -128,7 +130,11 @@ def assign_splits(images: DataFrame, proportions: dict[str, float] = PROPORTIONS
         .join(F.broadcast(rest) if len(place) <= 500_000 else rest, ["n", "rest"], "left")
         .select("set_id", "n", F.coalesce("rest_role", F.element_at(names, (F.col("rank") % bins + 1).cast("int"))).alias("dataset_role"))
     )
-    return attach(sets, materialize(placed, "placed"), "set_id", "n", sets.count()).select("image_id", "set_id", "dataset_role")
+    placed = materialize(placed, "placed")
+    out = materialize(attach(sets, placed, "set_id", "n", sets.count()).select("image_id", "set_id", "dataset_role"), "split")
+    for step in (sets, sized, placed):
+        release(step)
+    return out
 
 
 def split_report(assigned: DataFrame, proportions: dict[str, float] = PROPORTIONS) -> DataFrame:
