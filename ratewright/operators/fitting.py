@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratewright.common import sorted_positions
+from ratewright.operators.summary import order_bucket
 
 
 def pool_adjacent(points: list[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
@@ -174,11 +175,16 @@ def cluster_sizes(rows: DataFrame, cluster: str, most: int = 2_000_000) -> list[
 
 def boundary(rows: DataFrame, by: list[str], value: str, label: str, k: int) -> DataFrame:
     """Threshold between labels up to ``k`` and above with the best balanced accuracy: midpoints of neighbouring values,
-    ties to the lowest. Null if one side is empty. Works on counts of distinct values."""
-    c = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(F.col(label) <= k).alias("lo"), F.count_if(F.col(label) > k).alias("hi"))
-    w = Window.partitionBy(*by).orderBy("v")
-    all_ = Window.partitionBy(*by)
-    c = c.withColumns({"next": F.lead("v").over(w), "below": F.sum("lo").over(w), "over": F.sum("hi").over(w), "los": F.sum("lo").over(all_), "his": F.sum("hi").over(all_)})
+    ties to the lowest. Null if one side is empty. Counts of distinct values are summed over order buckets and within each,
+    so no task holds all values of a group.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(F.col(label) <= k).alias("lo"), F.count_if(F.col(label) > k).alias("hi")).withColumn("bucket", order_bucket(F.col("v")))
+    per = c.groupBy(*by, "bucket").agg(F.sum("lo").alias("blo"), F.sum("hi").alias("bhi"), F.min("v").alias("first"))
+    over, all_ = Window.partitionBy(*by).orderBy("bucket"), Window.partitionBy(*by)
+    per = per.withColumns({"after": F.lead("first").over(over), "slo": F.sum("blo").over(over) - F.col("blo"), "shi": F.sum("bhi").over(over) - F.col("bhi"), "los": F.sum("blo").over(all_), "his": F.sum("bhi").over(all_)})
+    w = Window.partitionBy(*by, "bucket").orderBy("v")
+    c = c.join(per.drop("blo", "bhi", "first"), [*by, "bucket"])
+    c = c.withColumns({"next": F.coalesce(F.lead("v").over(w), "after"), "below": F.col("slo") + F.sum("lo").over(w), "over": F.col("shi") + F.sum("hi").over(w)})
     score = (F.col("below") / F.col("los") + (F.col("his") - F.col("over")) / F.col("his")) / 2
     ok = c.where("next is not null and los > 0 and his > 0").withColumn("t", (F.col("v") + F.col("next")) / 2).withColumn("s", F.round(score, 12))
     return ok.groupBy(*by).agg(F.max(F.struct("s", (-F.col("t")).alias("neg"))).alias("m")).select(*by, (-F.col("m.neg")).alias("threshold"), F.col("m.s").alias("score"))
