@@ -37,7 +37,7 @@ RIDGE = 4.0
 #: Probabilities of levels are the exponentials of so many times the negative weighted distance.
 SHARPNESS = 2.0
 #: Rounds with probabilities of levels; after them levels are whole, until none changes, in ``ROUNDS`` rounds at most.
-SOFT_ROUNDS = 12
+SOFT_ROUNDS = 8
 ROUNDS = 60
 #: Most raters' rows (rater and axis) that are broadcast.
 MOST_RATERS = 200_000
