@@ -161,12 +161,21 @@ def test_copies_and_full_leaf(spark):
     assert neighbours.similar_pairs(spark.createDataFrame([], VEC)).count() == 0
 
 
-def test_overfull_leaf_is_split():
-    rng = np.random.default_rng(0)
-    bits = rng.integers(0, 256, (1000, 4), dtype=np.uint8)
-    bits[:600] = bits[0]
-    parts = list(neighbours._leaves(np.zeros(1000, np.uint32), bits, 50))
-    assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and max(map(len, parts)) <= 50
+def test_leaves_are_whole():
+    code = np.random.default_rng(0).integers(0, 9, 500).astype(np.uint32)
+    parts = neighbours._leaves(code)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(500)) and all(len(set(code[p].tolist())) == 1 for p in parts) and len(parts) == 9
+
+
+def test_a_large_place_becomes_cells_in_which_all_meet(spark):
+    """Any two members of a place share a cell, however large it is; no cell is larger than the bound by much."""
+    placed = spark.createDataFrame([(1, i) for i in range(300)] + [(2, i) for i in range(20)], "place long, id long")
+    rows = neighbours._cells(placed, 64).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault(r.place, set()).add(r.id)
+    met = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    assert len(met) == 300 * 299 // 2 and max(map(len, cells.values())) < 128
 
 
 def test_vector_bytes_round_trip():
