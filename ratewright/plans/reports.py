@@ -199,7 +199,51 @@ def dataset_report(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (duplicate_groups, candidate_selection, axis_metrics, predicted_levels, compare_axes, calibration_stops, population_report, dataset_report)}
+def gate_exclusions(spark: SparkSession, d: str, cohort: str = COHORT) -> DataFrame:
+    """Why an image of ``cohort`` takes no part in comparing the judge with people, the first reason that holds:
+    ``(outcome, n, large)``, ``large`` being the compared labels that lie two levels or more from the measured one.
+    """
+    v = _scalars(spark, d).select("sha256", "faceCount")
+    rows = _latest(spark, d).where(F.col("cohort") == cohort).join(v, "sha256", "left")
+    outcome = (
+        F.when(~F.coalesce("eligible", F.lit(False)), "below_dimension_floor").when(F.col("faceCount").isNull(), "features_missing").when(F.col("faceCount") == 0, "no_face")
+        .when(F.col("vlm_status") == "declined", "vlm_declined").when(F.coalesce("vlm_status", F.lit("")) != "assessed", "assessment_missing").otherwise("compared")
+    )
+    far = P.levels(spark, d).where("abs(human - model) >= 2").groupBy("image_id").agg(F.count("*").alias("far"))
+    return rows.select("image_id", outcome.alias("outcome")).join(far, "image_id", "left").groupBy("outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("outcome") == "compared", F.col("far"))), F.lit(0)).alias("large"))
+
+
+def corpus_framing(spark: SparkSession, d: str) -> DataFrame:
+    """Framing labels of collected photos with their vector and a cluster by photographer: ``(state, labels, photos, clusters)``.
+
+    A label whose photo has no vector is counted as missing, none is dropped unseen. A photo without a photographer is a
+    cluster of its own.
+    """
+    images = read(spark, d, "dataset_image").select(norm_key("image_id").alias("image_id"), norm_key("sha256").alias("sha256")).where("image_id is not null and sha256 is not null").distinct()
+    l = P.ratings(spark, d).where("axis = 'framing'").join(images, "image_id")  # noqa: E741
+    credit = read(spark, d, "manifest").select(norm_key("sha256").alias("sha256"), F.nullif(F.trim("photographer"), F.lit("")).alias("who")).where("sha256 is not null").groupBy("sha256").agg(F.min("who").alias("who"))
+    known = _scalars(spark, d).select("sha256", F.lit(True).alias("known")).distinct()
+    rows = l.join(known, "sha256", "left").join(credit, "sha256", "left")
+    cluster = F.coalesce(F.concat(F.lit("creator:"), "who"), F.concat(F.lit("image:"), "sha256"))
+    return rows.groupBy(F.when(F.col("known"), "merged").otherwise("missing").alias("state")).agg(F.count("*").alias("labels"), F.countDistinct("sha256").alias("photos"), F.countDistinct(cluster).alias("clusters"))
+
+
+def artifact_states(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each image's cached vector can be used, by what its row says: ``(feature_status, state, n)``.
+
+    The states in order: not ready, another version wanted, no vector of that content, only vectors of other versions,
+    or found.
+    """
+    cache = read(spark, d, "feature_cache").select(norm_key("sha256").alias("sha256"), F.trim("extractor_version").alias("v")).where("sha256 is not null").groupBy("sha256").agg(F.bool_or(F.col("v") == S.VERSION).alias("current"))
+    rows = _latest(spark, d).join(cache, "sha256", "left")
+    state = (
+        F.when(F.coalesce("feature_status", F.lit("")) != "ready", "not ready").when(F.coalesce("extractor_version", F.lit("")) != S.VERSION, "other version wanted")
+        .when(F.col("current").isNull(), "no vector").when(~F.col("current"), "other versions only").otherwise("found")
+    )
+    return rows.groupBy("feature_status", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (duplicate_groups, candidate_selection, axis_metrics, predicted_levels, compare_axes, calibration_stops, population_report, dataset_report, gate_exclusions, corpus_framing, artifact_states)}
 
 _K = P._K
 _LAST = [_K(c) for c in ("sha256", "source", "cohort", "dataset_role", "split_group", "duplicate_of", "feature_status", "vlm_status", "eligibility_reason", "extractor_version")] + ["eligible_for_product_scoring"]
@@ -244,4 +288,12 @@ SQL = {
     "dataset_report": f"""with {_LATEST}, np as ({D.SQL['near_duplicate_images']}) {_count('images', "'all'", 'lt')} union all {' union all '.join(_count(c, c, 'lt') for c in ('source', 'cohort', 'dataset_role', 'feature_status', 'vlm_status'))}
       union all {_count('eligibility', "case when eligible is null then 'unknown' when eligible then 'eligible' else coalesce(eligibility_reason, 'ineligible') end", 'lt')} union all {_count('duplicates', "'all'", '(select * from lt where duplicate_of is not null)')}
       union all {_count('groups_of_several', "'all'", '(select split_group from lt where split_group is not null group by 1 having count(*) > 1)')} union all {_count('near_pairs', 'bits', 'np')}""",
+    "gate_exclusions": f"""with {P._LEVELS}, {_LATEST}, fa as (select sha256, faceCount from v where ev = 'v8'), far as (select image_id, count(*) as far from p where abs(x - y) >= 2 group by 1),
+      o as (select image_id, case when eligible is not true then 'below_dimension_floor' when faceCount is null then 'features_missing' when faceCount = 0 then 'no_face' when vlm_status = 'declined' then 'vlm_declined' when coalesce(vlm_status, '') <> 'assessed' then 'assessment_missing' else 'compared' end as outcome from lt left join fa using (sha256) where cohort = '{COHORT}')
+      select outcome, count(*) as n, coalesce(sum(case when outcome = 'compared' then far end), 0)::bigint as large from o left join far using (image_id) group by 1""",
+    "corpus_framing": f"""with {P._LABELS}, im as (select distinct {_K('image_id')} as image_id, {_K('sha256')} as sha256 from dataset_image where {_K('image_id')} is not null and {_K('sha256')} is not null),
+      cr as (select {_K('sha256')} as sha256, min(nullif(trim(photographer, ' '), '')) as who from manifest group by 1), kn as (select distinct {_K('sha256')} as sha256, true as known from feature_cache where extractor_version = 'v8')
+      select case when known then 'merged' else 'missing' end as state, count(*) as labels, count(distinct im.sha256) as photos, count(distinct coalesce('creator:' || who, 'image:' || im.sha256)) as clusters from r join im using (image_id) left join kn using (sha256) left join cr using (sha256) where axis = 'framing' group by 1""",
+    "artifact_states": f"""with {_LATEST}, c as (select {_K('sha256')} as sha256, bool_or(trim(extractor_version) = 'v8') as current from feature_cache where {_K('sha256')} is not null group by 1)
+      select feature_status, case when coalesce(feature_status, '') <> 'ready' then 'not ready' when coalesce(extractor_version, '') <> 'v8' then 'other version wanted' when current is null then 'no vector' when not current then 'other versions only' else 'found' end as state, count(*) as n from lt left join c using (sha256) group by 1, 2""",
 }
