@@ -20,6 +20,10 @@ def block_masks(radius: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in signed]
 
 
+#: A key costs as much as so many comparisons: it is written, sent and sorted.
+KEY_COST = 8
+
+
 def best_agree(one: int, other: int, radius: int, most: int = 1000) -> int:
     """The number of agreeing blocks with the least keys and candidates for so many codes on each side.
 
@@ -29,7 +33,7 @@ def best_agree(one: int, other: int, radius: int, most: int = 1000) -> int:
 
     def work(agree: int) -> float:
         keys, bits = comb(radius + agree, agree), 64 * agree / (radius + agree)
-        return keys * (one + other) + one * other * keys / 2**bits
+        return KEY_COST * keys * (one + other) + one * other * keys / 2**bits
 
     return min((a for a in range(1, 65 - radius) if comb(radius + a, a) <= max(most, radius + 1)), key=work)
 
