@@ -24,12 +24,13 @@ def near_codes(one: DataFrame, other: DataFrame, radius: int = 6, agree: int | N
     """Pairs ``(code_a, code_b)`` of the distinct codes (column ``code``) of two tables within ``radius`` bits, by block keys.
 
     ``agree`` blocks make a key; left out, it is chosen by the number of codes on each side. Codes that share a common key
-    are compared by a skew-aware join. Null codes meet none.
+    are compared by a skew-aware join. Null codes meet none. Keys are never broadcast: Spark takes a table of keys to be
+    hardly larger than its codes, as it doesn't know how many keys a code has.
     """
     a, b = (materialize(x.where("code is not null").select("code").distinct(), "codes") for x in (one, other))
     agree = agree or best_agree(a.count(), b.count(), radius)
     keyed = lambda x, name: x.select(F.col("code").alias(name), F.explode(block_keys(F.col("code"), radius, agree)).alias("k"))
-    return keyed(a, "code_a").join(keyed(b, "code_b"), "k").where(hamming64(F.col("code_a"), F.col("code_b")) <= radius).select("code_a", "code_b").distinct()
+    return keyed(a, "code_a").hint("merge").join(keyed(b, "code_b").hint("merge"), "k").where(hamming64(F.col("code_a"), F.col("code_b")) <= radius).select("code_a", "code_b").distinct()
 
 
 def near_pairs(codes: DataFrame, radius: int = 6, agree: int | None = None) -> DataFrame:

@@ -300,6 +300,12 @@ def test_near_pairs_equal_brute_force(spark, agree):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 6}
 
 
+def test_keys_of_codes_are_never_broadcast(spark):
+    df = G.near_pairs(spark.createDataFrame([(c,) for c in range(40)], "code long"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.count() == 40 * 39 // 2
+
+
 def test_isotonic_fitted_axes_equal_max_min(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(axis, f"i{n}", "c", float(rng.randrange(12)), rng.randrange(1, 6)) for axis in ("sharpness", "lighting", "resolution", "framing") for n in range(40)]
