@@ -70,18 +70,20 @@ def image_groups(rows: DataFrame, radius: int = 6) -> DataFrame:
 
 def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of ``edges (a, b)`` as ``(vertex, label)``, label the least vertex. Each round a vertex takes the least
-    label around it and then that label's own label, so rounds grow with the logarithm of a chain's length in practice.
+    label around it and then that label's own label, so rounds grow with the logarithm of a chain's length in practice. Labels
+    are as many as the vertices and are never broadcast, however small their file, neither here nor by who joins them.
     """
     both = materialize(edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
+    own = lambda x: x.select("vertex", "label").hint("merge")
     labels = materialize(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     for _ in range(rounds):
-        around = both.join(labels.select(F.col("vertex").alias("b"), "label"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("seen"))
-        step = labels.join(around, "vertex", "left").select("vertex", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("vertex").alias("label"), F.col("label").alias("far"))
+        around = both.join(own(labels).withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("seen"))
+        step = own(labels).join(around, "vertex", "left").select("vertex", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        jump = own(labels).select(F.col("vertex").alias("label"), F.col("label").alias("far"))
         after = materialize(step.join(jump, "label", "left").select("vertex", "old", F.least("label", "far").alias("label")), "labels")
         done = after.where("old <> label").isEmpty()
         release(labels)
-        labels = after.select("vertex", "label")
+        labels = own(after)
         labels._ratewright_path = after._ratewright_path
         if done:
             return labels

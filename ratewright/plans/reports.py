@@ -35,12 +35,12 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     held = rows.select("image_id", F.posexplode(F.array("sha", "source", "creator", F.col("code").cast("string"))).alias("p", "k")).where("k is not null").distinct()
     hubs = materialize(held.groupBy("p", "k").agg(F.min("image_id").alias("hub"), F.count("*").alias("n")), "hubs")
     links = attach(held, hubs, ["p", "k"], "n", held.count()).where("image_id <> hub").select(F.col("image_id").alias("a"), F.col("hub").alias("b"))
-    of = hubs.where("p = 3").select(F.col("k").cast("bigint").alias("code"), "hub")
+    of = hubs.where("p = 3").select(F.col("k").cast("bigint").alias("code"), "hub").hint("merge")
     near = G.near_pairs(rows).join(of.select(F.col("code").alias("code_a"), F.col("hub").alias("a")), "code_a").join(of.select(F.col("code").alias("code_b"), F.col("hub").alias("b")), "code_b").select("a", "b")
     labels = G.least_labels(links.unionByName(near))
     every = rows.join(labels.withColumnRenamed("vertex", "image_id"), "image_id", "left").withColumn("split_group", F.coalesce("label", "image_id"))
     roles = every.groupBy("split_group").agg(F.size(F.collect_set("role")).alias("roles"))  # few roles
-    first = hubs.where("p = 0").select(F.col("k").alias("sha"), F.col("hub").alias("first"))
+    first = hubs.where("p = 0").select(F.col("k").alias("sha"), F.col("hub").alias("first")).hint("merge")
     one = every.join(first, "sha", "left").groupBy("image_id", "split_group").agg(F.min(F.when(F.col("first") != F.col("image_id"), F.col("first"))).alias("duplicate_of"))
     return one.join(roles, "split_group").select("image_id", "split_group", "duplicate_of", "roles", (F.col("roles") > 1).alias("mixed"))
 

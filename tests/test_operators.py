@@ -306,6 +306,14 @@ def test_keys_of_codes_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.count() == 40 * 39 // 2
 
 
+def test_labels_are_never_broadcast(spark):
+    labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
+    joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in joined.collect()} == {(v, x, x) for v, x in zip("abcde", "aaadd")}
+
+
 def test_isotonic_fitted_axes_equal_max_min(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(axis, f"i{n}", "c", float(rng.randrange(12)), rng.randrange(1, 6)) for axis in ("sharpness", "lighting", "resolution", "framing") for n in range(40)]
@@ -363,6 +371,30 @@ def test_boxes(spark):
     assert sorted((r.i, r.ordinal) for r in K.suppress_overlaps(df, "i", 0.3).collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_boxes_of_many_images_are_judged_together(spark, monkeypatch):
+    monkeypatch.setattr(K, "BOXES", 50, raising=False)
+    rng = random.Random(11)
+    value = lambda: rng.choice([0.0, None, *[rng.randrange(1, 9) / 10] * 18])
+    rows = [(i, o, *[value() for _ in range(5)]) for i in [None, *range(60)] for o in range(rng.choice([1, 2, 3, 7, 70]))]
+    rng.shuffle(rows)
+
+    def over(a, b):
+        iw, ih = (max(0, min(a[n] + a[n + 2], b[n] + b[n + 2]) - max(a[n], b[n])) for n in (2, 3))
+        union = a[4] * a[5] + b[4] * b[5] - iw * ih
+        return union > 0 and iw * ih / union > 0.3
+
+    want = set()
+    for i in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == i), key=lambda r: (r[6] is None, -(r[6] or 0), r[1])):
+            if None in r[2:6] or not any(over(r, k) for k in kept if None not in k[2:6]):
+                kept.append(r)
+        want |= {(i, r[1], r[6]) for r in kept}
+    out = K.suppress_overlaps(spark.createDataFrame(rows, "i int, ordinal int, x double, y double, w double, h double, score double"), "i", 0.3)
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_attach_splits_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(common, "heavy_bound", lambda total: 10)
     rows = spark.createDataFrame([("hot", n) for n in range(100)] + [(f"k{n}", n) for n in range(20)], "k string, n int")
