@@ -37,6 +37,9 @@ PLACE_MOST = 2048
 DENSE = 64
 #: Most vectors of one comparing task's place; a larger place becomes cells, in some of which any two of its members meet.
 CELL = 16_384
+#: Levels up to which ``TREES`` and ``EXTRA`` hold. With each further level two similar vectors part more often, so beyond
+#: them extra leaves double every two levels and trees every six.
+LEVELS = 10
 #: Most vectors the forest's splits are fitted on.
 SAMPLE = 8192
 #: Levels with a split of their own in every node that holds ``NODE_LEAST`` of the sample; below, a level's nodes share one.
@@ -79,11 +82,21 @@ def _orthogonal(rng: np.random.Generator, count: int, width: int) -> np.ndarray:
     return np.array(out[:count], dtype=np.float32)
 
 
+def _depth(rows: int, leaf: int = LEAF) -> int:
+    return min(30, max(1, math.ceil(math.log2(max(2, rows / leaf)))))
+
+
+def widened(rows: int, trees: int = TREES, extra: int = EXTRA) -> tuple[int, int]:
+    """Trees and extra leaves for so many vectors, so that recall doesn't fall with their number."""
+    more = max(0, _depth(rows) - LEVELS)
+    return math.ceil(trees * 2 ** (more / 6)), math.ceil(extra * 2 ** (more / 2))
+
+
 def fit_forest(sample: np.ndarray, rows: int, similarity: float, trees: int = TREES, bits: int = BITS, leaf: int = LEAF, seed: int = 7) -> Forest:
     """Forest for ``rows`` vectors from a sample of them."""
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
-    depth = min(30, max(1, math.ceil(math.log2(max(2, rows / leaf)))))
+    depth = _depth(rows, leaf)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True).clip(1e-30)
     mean = unit.mean(0).astype(np.float32) if len(sample) >= 64 else np.zeros(width, np.float32)
     m2 = float((mean**2).sum())
@@ -166,13 +179,16 @@ def index_blobs(forest: Forest, extra: int):
             blobs.append(np.int64(len(part)).tobytes() + (code[part] * 2 + home[part]).astype(np.uint32).tobytes() + ids[row[part]].tobytes() + bits[row[part]].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["g", "data"])
 
+    # A row's places in all leaves are held at once.
+    flush = max(1, FLUSH * (TREES + EXTRA) // max(TREES + EXTRA, forest.trees + extra))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for b in batches:
             if b.num_rows:
                 held.append((np.asarray(b.column(0)), _matrix(b.column(1))))
                 count += b.num_rows
-            if count >= FLUSH:
+            if count >= flush:
                 yield from pack(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                 held, count = [], 0
         if count:
@@ -372,10 +388,13 @@ def similar_contents(rows: DataFrame, width: int, k: int, similarity: float, tre
     some = rows.where(F.pmod(order, F.lit(max(1, count // SAMPLE))) == 0).groupBy("id").agg(F.any_value("vector").alias("vector"))
     picked = some.orderBy(order, "id").limit(SAMPLE).toArrow()
     sample = _matrix(picked.column("vector")) if picked.num_rows else np.ones((1, width), np.float32)
+    base = (trees + extra) / trees
+    trees, extra = widened(count, trees, extra)
+    most = math.ceil(LEAF_MOST * (trees + extra) / trees / base)  # a leaf has more askers then
     forest = fit_forest(sample, count, similarity, trees)
     labels = ", ".join(f"l{r} long" for r in range(places))
     blobs = rows.select("id", "vector").mapInArrow(index_blobs(forest, extra), "g long, data binary")
-    found = blobs.groupBy("g").applyInArrow(leaf_search(BITS, forest.reach, places, LEAF_MOST), f"id long, {labels}, others array<long>, dense array<long>")
+    found = blobs.groupBy("g").applyInArrow(leaf_search(BITS, forest.reach, places, most), f"id long, {labels}, others array<long>, dense array<long>")
     hosts, meet = _places(found, places)
     whole = materialize(hosts, "hosts")
     hosts = materialize(_cells(whole, CELL), "cells")

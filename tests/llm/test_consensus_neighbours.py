@@ -232,6 +232,30 @@ def test_large_leaves_and_places_are_compared_in_full(spark, monkeypatch):
     assert share >= 0.95 and more <= 0.05
 
 
+def meeting(rows, x, a, b):
+    """Share of the pairs of ``x`` that meet in a leaf of the forest for so many rows."""
+    trees, extra = neighbours.widened(rows) if hasattr(neighbours, "widened") else (neighbours.TREES, neighbours.EXTRA)
+    f = neighbours.fit_forest(x, rows, 0.8, trees)
+
+    def leaves(y):
+        p = (f.centred(y) @ f.directions.T).reshape(len(y), trees, f.depth)
+        home, margin = f.descend(p.reshape(-1, f.depth), np.tile(np.arange(trees), len(y)), np.zeros(len(y) * trees, np.int64))
+        t, flips = neighbours._queue(margin.reshape(len(y), trees, f.depth), extra)
+        far, _ = f.descend(p[np.repeat(np.arange(len(y)), extra), t.ravel()], t.ravel(), flips.ravel())
+        return home.reshape(len(y), -1), t, far.reshape(len(y), -1)
+
+    (ha, ta, fa), (hb, tb, fb) = leaves(x[a]), leaves(x[b])
+    return ((ha == hb).any(1) | (np.take_along_axis(hb, ta, 1) == fa).any(1) | (np.take_along_axis(ha, tb, 1) == fb).any(1)).mean()
+
+
+def test_similar_vectors_meet_among_many_rows_as_among_few():
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((1000, 128))
+    x = np.concatenate([centre, centre + rng.standard_normal((1000, 128)) * 0.55]).astype(np.float32)
+    few, many = (meeting(n, x, np.arange(1000), np.arange(1000, 2000)) for n in (80_000, 6_000_000))
+    assert few > 0.9 and many > few - 0.05
+
+
 def test_any_two_of_a_large_place_share_a_cell(spark):
     rows = spark.createDataFrame([(7, i) for i in range(300)] + [(8, i) for i in range(5)], "place long, id long")
     cells = {}
