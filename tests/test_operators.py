@@ -306,6 +306,12 @@ def test_keys_of_codes_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.count() == 40 * 39 // 2
 
 
+def test_images_meet_by_merged_keys(spark):
+    rows = spark.createDataFrame([("a", "x", 5), ("b", "y", 4)], "image_id string, sha256 string, code long")
+    out = G.near_images(rows)
+    assert "SortMergeJoin [k#" in out._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in out.collect()] == [("a", "b", 1)]
+
+
 def test_labels_are_never_broadcast(spark):
     labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
     joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
