@@ -45,10 +45,11 @@ def hexed(code: Column | str) -> Column:
 
 def near_images(rows: DataFrame, radius: int = 6) -> DataFrame:
     """``(image_a, image_b, bits)``, a before b: images of ``rows (image_id, sha256, code)`` within ``radius`` bits, equal
-    codes included, but not those of one sha256. A null sha256 equals none; rows without a code take no part.
+    codes included, but not those of one sha256. A null sha256 equals none; rows without a code take no part. Images are
+    as many as the rows and never broadcast.
     """
     c = rows.where("image_id is not null and code is not null").select("image_id", "sha256", "code").distinct()
-    a, b = (c.select(F.col("image_id").alias(f"i{x}"), F.col("sha256").alias(f"s{x}"), F.col("code").alias(f"code_{x}")) for x in "ab")
+    a, b = (c.select(F.col("image_id").alias(f"i{x}"), F.col("sha256").alias(f"s{x}"), F.col("code").alias(f"code_{x}")).hint("merge") for x in "ab")
     near = near_pairs(c, radius).unionByName(c.select(F.col("code").alias("code_a"), F.col("code").alias("code_b")).distinct())
     pairs = near.join(a, "code_a").join(b, "code_b").where(~F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)) & (F.col("ia") != F.col("ib")))
     return pairs.select(F.least("ia", "ib").alias("image_a"), F.greatest("ia", "ib").alias("image_b"), hamming64(F.col("code_a"), F.col("code_b")).alias("bits")).distinct()

@@ -312,6 +312,22 @@ def test_images_meet_by_merged_keys(spark):
     assert "SortMergeJoin [k#" in out._jdf.queryExecution().executedPlan().toString() and [tuple(r) for r in out.collect()] == [("a", "b", 1)]
 
 
+@pytest.fixture
+def all_plans(monkeypatch):
+    """Plans of the steps that are written; call it with the result to get its own as well."""
+    plans, write = [], G.materialize
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(G, "materialize", lambda df, *name: (plans.append(plan_of(df)), write(df, *name))[1])
+    return lambda df: [*plans, plan_of(df)]
+
+
+def test_images_of_pairs_are_never_broadcast(spark, all_plans, tmp_path):
+    spark.createDataFrame([("a", "x", 5), ("b", "y", 4)], "image_id string, sha256 string, code long").write.parquet(f"{tmp_path}/rows")
+    out = G.near_images(spark.read.parquet(f"{tmp_path}/rows"))  # a file's size is known, and small
+    plans = all_plans(out)
+    assert "Broadcast" not in "".join(plans) and plans[-1].count("SortMergeJoin") == 3 and [tuple(r) for r in out.collect()] == [("a", "b", 1)]
+
+
 def test_labels_are_never_broadcast(spark):
     labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
     joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
