@@ -59,14 +59,14 @@ def image_groups(rows: DataFrame, radius: int = 6) -> DataFrame:
     """``(image_id, hash, keeper, first_image, images)``: single linkage of ``rows (image_id, code)`` within ``radius`` bits.
 
     Every image with a code is in a group, alone or not: of the group, ``keeper`` is the least code, ``first_image`` the
-    least image and ``images`` how many it has.
+    least image and ``images`` how many it has. Neither images nor codes nor groups are ever broadcast.
     """
-    c = rows.where("image_id is not null and code is not null").select("image_id", hexed("code").alias("hash")).distinct()
+    c = rows.where("image_id is not null and code is not null").select("image_id", hexed("code").alias("hash")).distinct().hint("merge")
     labels = least_labels(near_pairs(rows, radius).select(hexed("code_a").alias("a"), hexed("code_b").alias("b")))
     kept = c.select("hash").distinct().join(labels.select(F.col("vertex").alias("hash"), "label"), "hash", "left").select("hash", F.coalesce("label", "hash").alias("keeper"))
     members = c.join(kept, "hash")
     sizes = members.groupBy("keeper").agg(F.min("image_id").alias("first_image"), F.countDistinct("image_id").alias("images"))
-    return members.join(sizes, "keeper").select("image_id", "hash", "keeper", "first_image", "images")
+    return members.join(sizes.hint("merge"), "keeper").select("image_id", "hash", "keeper", "first_image", "images")
 
 
 def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:

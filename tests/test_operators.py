@@ -328,6 +328,14 @@ def test_images_of_pairs_are_never_broadcast(spark, all_plans, tmp_path):
     assert "Broadcast" not in "".join(plans) and plans[-1].count("SortMergeJoin") == 3 and [tuple(r) for r in out.collect()] == [("a", "b", 1)]
 
 
+def test_members_are_never_broadcast(spark, all_plans, tmp_path):
+    spark.createDataFrame([("a", 5), ("b", 4), ("c", -1)], "image_id string, code long").write.parquet(f"{tmp_path}/rows")
+    out = G.image_groups(spark.read.parquet(f"{tmp_path}/rows"))
+    plans = all_plans(out)
+    assert "Broadcast" not in "".join(plans) and "SortMergeJoin" in plans[-1]
+    assert {(r.image_id, r.keeper[-1], r.first_image, r.images) for r in out.collect()} == {("a", "4", "a", 2), ("b", "4", "a", 2), ("c", "f", "c", 1)}
+
+
 def test_labels_are_never_broadcast(spark):
     labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
     joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
