@@ -336,6 +336,11 @@ def test_members_are_never_broadcast(spark, all_plans, tmp_path):
     assert {(r.image_id, r.keeper[-1], r.first_image, r.images) for r in out.collect()} == {("a", "4", "a", 2), ("b", "4", "a", 2), ("c", "f", "c", 1)}
 
 
+def test_pairs_of_the_report_are_never_broadcast(spark):
+    plan = reports.dataset_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+
+
 def test_labels_are_never_broadcast(spark):
     labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
     joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
