@@ -18,7 +18,7 @@ from ratewright.operators import kernels as K
 from ratewright.operators import scoring as S
 from ratewright.operators import state as St
 from ratewright.operators import summary as Y
-from ratewright.plans import checks, fits, reports
+from ratewright.plans import checks, datasets, fits, reports
 from ratewright.sources import manifest_lines as L
 
 UNITS = ["-1-", "---", "-22", "-11", "-33", "334", "444", "13-", "2-2", "1-1", "1-1", "3-3", "3-3", "---", "3-4"]
@@ -341,6 +341,11 @@ def test_pairs_of_the_report_are_never_broadcast(spark):
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
 
 
+def test_fingerprints_and_labels_are_never_broadcast(spark, all_plans):
+    plans = all_plans(datasets.phash_groups(spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in "".join(plans) and sum("SortMergeJoin" in p for p in plans) >= 2  # edges, and each round
+
+
 def test_labels_are_never_broadcast(spark):
     labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
     joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
