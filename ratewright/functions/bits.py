@@ -38,7 +38,6 @@ def best_agree(one: int, other: int, radius: int, most: int = 1000) -> int:
     return min((a for a in range(1, 65 - radius) if comb(radius + a, a) <= max(most, radius + 1)), key=work)
 
 
-def block_keys(code: Column, radius: int, agree: int) -> Column:
-    """One key for each choice of ``agree`` blocks. Codes within ``radius`` share one at least: that is exact."""
-    masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(radius, agree)])
-    return F.transform(masks, lambda m: F.xxhash64(code.bitwiseAND(m), m))
+def mask_keys(code: Column, masks: list[int]) -> Column:
+    """One key for each mask. Of all ``block_masks``, codes within the radius share one key at least: that is exact."""
+    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.xxhash64(code.bitwiseAND(m), m))

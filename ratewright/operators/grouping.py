@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.common import materialize, release
-from ratewright.functions.bits import best_agree, block_keys
+from ratewright.functions.bits import best_agree, block_masks, mask_keys
 from ratewright.functions.numeric import hamming64
 
 #: Credits that name nobody (fixed values): where creators are grouped, and where clusters are made of a source list.
@@ -20,22 +22,50 @@ def hash_code(hex16: Column) -> Column:
     return F.when(h.rlike(r"^[0-9a-f]{16}\z"), F.conv(h, 16, -10).cast("bigint"))
 
 
+#: Codes of two tables meet in passes of at least so many keys a code, or of so many rows of keys, if that is more.
+PASS_KEYS, PASS_ROWS = 14, 8_000_000
+
+
 def near_codes(one: DataFrame, other: DataFrame, radius: int = 6, agree: int | None = None) -> DataFrame:
     """Pairs ``(code_a, code_b)`` of the distinct codes (column ``code``) of two tables within ``radius`` bits, by block keys.
 
     ``agree`` blocks make a key; left out, it is chosen by the number of codes on each side. Codes that share a common key
     are compared by a skew-aware join. Null codes meet none. Keys are never broadcast: Spark takes a table of keys to be
-    hardly larger than its codes, as it doesn't know how many keys a code has.
+    hardly larger than its codes, as it doesn't know how many keys a code has. Where keys are many, they meet in passes,
+    of which only the pairs are kept: what is on disk at once is ``PASS_KEYS`` keys a code, however many a code has.
     """
-    a, b = (materialize(x.where("code is not null").select("code").distinct(), "codes") for x in (one, other))
-    agree = agree or best_agree(a.count(), b.count(), radius)
-    keyed = lambda x, name: x.select(F.col("code").alias(name), F.explode(block_keys(F.col("code"), radius, agree)).alias("k"))
-    return keyed(a, "code_a").hint("merge").join(keyed(b, "code_b").hint("merge"), "k").where(hamming64(F.col("code_a"), F.col("code_b")) <= radius).select("code_a", "code_b").distinct()
+    return _met(*(_codes(x) for x in (one, other)), radius, agree, F.lit(True))
 
 
 def near_pairs(codes: DataFrame, radius: int = 6, agree: int | None = None) -> DataFrame:
-    """Pairs ``(code_a, code_b)``, the smaller first, of distinct codes within ``radius`` bits; see ``near_codes``."""
-    return near_codes(codes, codes, radius, agree).where("code_a < code_b")
+    """Pairs ``(code_a, code_b)``, the smaller first, of distinct codes within ``radius`` bits; see ``near_codes``. Both
+    sides are one table, so its keys are written once.
+    """
+    c = _codes(codes)
+    return _met(c, c, radius, agree, F.col("code_a") < F.col("code_b"))
+
+
+def _codes(rows: DataFrame) -> DataFrame:
+    return materialize(rows.where("code is not null").select("code").distinct(), "codes")
+
+
+def _met(a: DataFrame, b: DataFrame, radius: int, agree: int | None, wanted: Column) -> DataFrame:
+    """``near_codes`` of two written tables, of the pairs those that are ``wanted``."""
+    n = a.count()
+    m = n if a is b else b.count()
+    agree = agree or best_agree(n, m, radius)
+    masks = block_masks(radius, agree)
+    keyed = lambda x, name, part: x.select(F.col("code").alias(name), F.explode(mask_keys(F.col("code"), part)).alias("k")).hint("merge")
+    near = wanted & (hamming64(F.col("code_a"), F.col("code_b")) <= radius)
+    meet = lambda part: keyed(a, "code_a", part).join(keyed(b, "code_b", part), "k").where(near).select("code_a", "code_b").distinct()
+    most = max(PASS_KEYS, PASS_ROWS // max(1, n if a is b else n + m))
+    if len(masks) <= most:
+        return meet(masks)
+    passes = -(-len(masks) // most)
+    found = [materialize(meet(masks[i::passes]), "near") for i in range(passes)]
+    for x in (a, b):
+        release(x)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def hexed(code: Column | str) -> Column:

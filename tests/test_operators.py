@@ -350,6 +350,25 @@ def test_fingerprints_and_labels_are_never_broadcast(spark, all_plans):
     assert "Broadcast" not in "".join(plans) and sum("SortMergeJoin" in p for p in plans) >= 2  # edges, and each round
 
 
+def test_keys_of_one_table_are_written_once(spark, all_plans):
+    out = G.near_pairs(spark.createDataFrame([(c,) for c in range(40)], "code long"))
+    assert len(all_plans(out)) == 2 and out.count() == 40 * 39 // 2  # its codes, and the result
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_keys_meet_in_passes(spark, all_plans, monkeypatch):
+    monkeypatch.setattr(G, "PASS_ROWS", 0)
+    rng = random.Random(5)
+    codes = {rng.getrandbits(62) for _ in range(20)}
+    codes |= {c ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(9))) for c in codes for _ in range(3)}
+    table = spark.createDataFrame([(c,) for c in codes], "code long")
+    near = {(a, b) for a in codes for b in codes if (a ^ b).bit_count() <= 6}
+    out, both = G.near_pairs(table, agree=2), G.near_codes(table, table, agree=2)  # 28 keys a code
+    assert sum("SortMergeJoin" in p for p in all_plans(out)[:-1]) == 4 and "SortMergeJoin" not in all_plans(out)[-1]
+    assert sorted(map(tuple, out.collect())) == sorted(x for x in near if x[0] < x[1]) and sorted(map(tuple, both.collect())) == sorted(near)
+
+
 def test_labels_are_never_broadcast(spark):
     labels = G.least_labels(spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "a string, b string"))
     joined = labels.join(labels.withColumnRenamed("label", "other"), "vertex")
