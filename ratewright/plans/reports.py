@@ -183,20 +183,19 @@ def population_report(spark: SparkSession, d: str, cohort: str = COHORT) -> Data
 
 
 def dataset_report(spark: SparkSession, d: str) -> DataFrame:
-    """An inventory of all images by their last row: ``(section, key, n)``. Near pairs are those of ``near_duplicate_images``."""
-    i = materialize(_latest(spark, d), "latest")
+    """An inventory of all images by their last row: ``(section, key, n)``. Near pairs are those of ``near_duplicate_images``.
+
+    Sections of one image are counted in one reading, so plan and tasks don't grow with their number.
+    """
+    named = ["source", "cohort", "dataset_role", "feature_status", "vlm_status"]
+    i = materialize(_latest(spark, d).select(*named, "eligible", "eligibility_reason", "duplicate_of", "split_group"), "latest")
     eligible = F.when(F.col("eligible").isNull(), "unknown").when(F.col("eligible"), "eligible").otherwise(F.coalesce("eligibility_reason", F.lit("ineligible")))
+    said = {"images": F.lit("all")} | {c: F.coalesce(c, F.lit("none")) for c in named} | {"eligibility": eligible}
+    each = [F.struct(F.lit(name).alias("section"), key.alias("key")) for name, key in said.items()]
+    each.append(F.when(F.col("duplicate_of").isNotNull(), F.struct(F.lit("duplicates").alias("section"), F.lit("all").alias("key"))))
+    out = i.select(F.explode(F.array(*each)).alias("e")).where("e is not null").groupBy("e.section", "e.key").agg(F.count("*").alias("n"))
     groups = i.where("split_group is not null").groupBy("split_group").agg(F.count("*").alias("k")).where("k > 1")
-    out = _section("images", i, F.lit("all"))
-    for part in (
-        *[_section(c, i, c) for c in ("source", "cohort", "dataset_role", "feature_status", "vlm_status")],
-        _section("eligibility", i, eligible),
-        _section("duplicates", i.where("duplicate_of is not null"), F.lit("all")),
-        _section("groups_of_several", groups, F.lit("all")),
-        _section("near_pairs", D.near_duplicate_images(spark, d), "bits"),
-    ):
-        out = out.unionByName(part)
-    return out
+    return out.unionByName(_section("groups_of_several", groups, F.lit("all"))).unionByName(_section("near_pairs", D.near_duplicate_images(spark, d), "bits"))
 
 
 def gate_exclusions(spark: SparkSession, d: str, cohort: str = COHORT) -> DataFrame:

@@ -344,6 +344,13 @@ def test_pairs_of_the_report_are_never_broadcast(spark):
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
 
 
+@pytest.mark.skipif(not os.path.isdir(sqlcheck.DATA), reason="no test data here")
+def test_sections_of_the_report_are_counted_in_one_reading(spark):
+    out = reports.dataset_report(spark, sqlcheck.DATA)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()  # two of the last rows, five for pairs
+    assert plan.count("Relation [") == 7 and {"images", "source", "duplicates", "eligibility"} <= {r.section for r in out.collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(sqlcheck.DATA), reason="no test data here")
 def test_fingerprints_and_labels_are_never_broadcast(spark, all_plans):
     plans = all_plans(datasets.phash_groups(spark, sqlcheck.DATA))
