@@ -65,7 +65,7 @@ def _met(a: DataFrame, b: DataFrame, radius: int, agree: int | None, wanted: Col
     found = [materialize(meet(masks[i::passes]), "near") for i in range(passes)]
     for x in (a, b):
         release(x)
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, found).distinct().hint("merge")  # small files, but as many rows as there are pairs
 
 
 def hexed(code: Column | str) -> Column:

@@ -373,6 +373,8 @@ def test_many_keys_meet_in_passes(spark, all_plans, monkeypatch):
     near = {(a, b) for a in codes for b in codes if (a ^ b).bit_count() <= 6}
     out, both = G.near_pairs(table, agree=2), G.near_codes(table, table, agree=2)  # 28 keys a code
     assert sum("SortMergeJoin" in p for p in all_plans(out)[:-1]) == 4 and "SortMergeJoin" not in all_plans(out)[-1]
+    joined = out.join(G.near_codes(table, table, agree=2).withColumnRenamed("code_b", "other"), "code_a")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joined and "Broadcast" not in joined
     assert sorted(map(tuple, out.collect())) == sorted(x for x in near if x[0] < x[1]) and sorted(map(tuple, both.collect())) == sorted(near)
 
 
